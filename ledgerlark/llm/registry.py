@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, pii, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
