@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, url_filter
+from . import bpe, exact_dedup, language_id, pii, url_filter
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_language_id": language_id.op4_language_id,
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
