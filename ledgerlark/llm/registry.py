@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, pii, url_filter
+from . import bpe, exact_dedup, language_id, nearest, packing, pii, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_language_id": language_id.op4_language_id,
+    "op6_nearest": nearest.op6_nearest,
+    "op7_packing": packing.op7_packing,
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.ORACLE_SQL,
+    "op6_nearest": nearest.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
