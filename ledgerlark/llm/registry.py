@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, nearest, packing, pii, url_filter
+from . import bpe, exact_dedup, language_id, nearest, packing, pii, substring_dedup, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_nearest": nearest.op6_nearest,
     "op7_packing": packing.op7_packing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
