@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, nearest, ngram_join, packing, pii, substring_dedup, url_filter
+from . import bpe, exact_dedup, language_id, nearest, ngram_join, packing, pii, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_bpe": bpe.op2_bpe,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_language_id": language_id.op4_language_id,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_nearest": nearest.op6_nearest,
     "op7_packing": packing.op7_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
