@@ -31,7 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: Remainders that are dealt together: this many, or up to twice as many at a task's end.
 GROUP = 1024
-BLOCK_CHARS, CACHED = 4_000_000, 300_000
+#: Characters that are encoded together, and distinct words that a worker remembers (twice that at most, some 200 bytes each).
+BLOCK_CHARS, CACHED = 4_000_000, 600_000
 #: Texts of plain characters are cut into the pre-tokenizer's words here, so that each distinct word is encoded once.
 _OTHER = re.compile(r"[^\n\r\t -&(-~À-ÿ]|<\|")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
@@ -48,6 +49,7 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 3, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.cache = RecentCache(CACHED)
+        self.others: set[str] = set()  # of a block's keys, those that aren't plain words
 
     def of_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,25 +69,31 @@ class WordIds:
         return found
 
     def of_keys(self, keys: list[str]) -> list[bytes]:
-        plain = [k for k in keys if not _OTHER.search(k)]
-        found = dict(zip(plain, self.of_words(plain), strict=True))
-        others = [k for k in keys if k not in found]
-        found |= zip(others, self.of_each(others), strict=True)
-        return [found[k] for k in keys]
-
-    @staticmethod
-    def keys(text: str) -> list[str]:
+        others = [k for k in keys if k in self.others]
+        apart = dict(zip(others, self.of_each(others), strict=True))
+        words = iter(self.of_words([k for k in keys if k not in apart] if apart else keys))
+        return [apart[k] if k in apart else next(words) for k in keys] if apart else list(words)
+
+    def keys(self, text: str) -> list[str]:
         """Parts of ``text`` that are encoded apart: words where it is plain, else what stands between spaces."""
         if not _OTHER.search(text):
             return _WORDS.findall(text.lower())
-        return [k for c in text.split(" ") for k in ([c] if _OTHER.search(c) else _WORDS.findall(c.lower()))]
+        found = []
+        for chunk in text.split(" "):
+            if _OTHER.search(chunk):
+                self.others.add(chunk)
+                found.append(chunk)
+            else:
+                found += _WORDS.findall(chunk.lower())
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in blocks(texts, BLOCK_CHARS):
+            self.others.clear()
             cut = [self.keys(t) for t in texts[a:b]]
             known = self.cache.take(set().union(*cut), self.of_keys)
             for keys in cut:
-                yield b"".join([known[k] for k in keys])
+                yield b"".join(map(known.__getitem__, keys))
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[list[int], int]:

@@ -28,30 +28,22 @@ def tokenizer(spec: str) -> Tokenizer:
     return found
 
 
-class RecentCache(dict):
-    """A dict that forgets what wasn't asked for of late: when it is full, half a generation goes.
-
-    ``take`` gives the entries of some keys, filling those that are missing by one call of ``fill``.
-    """
+class RecentCache:
+    """Remembers entries that were asked for of late: when one generation is full, the one before it is forgotten."""
 
     def __init__(self, entries: int):
-        super().__init__()
-        self.entries, self.old = entries, {}
+        self.entries, self.now, self.old = entries, {}, {}
 
     def take(self, keys: set, fill) -> dict:
-        if len(self) > self.entries:
-            self.old = dict(self)
-            self.clear()
-        missing = []
-        for key in keys:
-            if key not in self:
-                if key in self.old:
-                    self[key] = self.old[key]
-                else:
-                    missing.append(key)
-        if missing:
-            self.update(zip(missing, fill(missing), strict=True))
-        return self
+        """A dict with the entries of ``keys`` among others; those missing are filled by one call of ``fill``."""
+        if len(self.now) > self.entries:
+            self.old, self.now = self.now, {}
+        missing = keys.difference(self.now)
+        again = [k for k in missing if k in self.old]
+        self.now.update((k, self.old[k]) for k in again)
+        missing = list(missing.difference(again))
+        self.now.update(zip(missing, fill(missing), strict=True))
+        return self.now
 
 
 def blocks(texts: list[str], chars: int) -> list[tuple[int, int]]:
