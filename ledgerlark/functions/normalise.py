@@ -28,9 +28,8 @@ def canon_port(c: Column) -> Column:
     """``place, country``: codes and terminals in brackets dropped, the country is what follows the last comma."""
     flat = F.regexp_replace(F.regexp_replace(F.upper(c), r"\([^)]*\)", " "), r"(?U)\s+", " ")
     flat = F.regexp_replace(flat, "^[ ,]+|[ ,]+$", "")
-    two = flat.contains(",")
-    place = F.when(two, strip(F.regexp_extract(flat, "(?s)^(.*),([^,]*)$", 1))).otherwise(flat)
-    country = F.when(two, strip(F.regexp_extract(flat, "(?s)^(.*),([^,]*)$", 2)))
+    place = strip(F.regexp_extract(flat, "(?s)^(.*?)(,[^,]*)?$", 1))
+    country = F.when(flat.contains(","), strip(F.regexp_extract(flat, "(?s)^.*,([^,]*)$", 1)))
     return F.struct(
         F.coalesce(lookup(place, PORT_ALIASES), place).alias("place"),
         F.coalesce(lookup(country, COUNTRY_ALIASES), country).alias("country"),

@@ -13,30 +13,39 @@ from .. import constants as K
 from ..functions.normalise import canon_name, canon_port, container_count, weight_kg
 from ..functions.similarity import ratio, ratio_udf
 from ..functions.text import general, quoted, squash
-from .extract import correction, party_lines
+from .extract import correction, let, party_lines
 
 RESULT_TYPE = "struct<field:string,verdict:string,si:string,bl:string,reason:string,si_evidence:string,bl_evidence:string>"
 
 
-def normal_value(name: str, field: Column, snapped: Column | None = None) -> Column:
+def normal_value(name: str, field: Column) -> Column:
     """``text, more, number``: a party's name and principal, a port's place and country, or a number."""
     none = F.lit(None).cast("string")
+
+    def value(text: Column, more: Column, number: Column) -> Column:
+        return F.struct(text.cast("string").alias("text"), more.cast("string").alias("more"), number.cast("double").alias("number"))
+
     if name in K.PARTIES:
-        party = party_lines(field)
-        behalf = F.when(party["behalf"] != "", canon_name(party["behalf"]))
-        found = canon_name(party["name"])
-        parts = (F.coalesce(snapped, found) if snapped is not None else found, behalf, F.lit(None))
+        found = let(party_lines(field), lambda p: value(canon_name(p["name"]), F.when(p["behalf"] != "", canon_name(p["behalf"])), F.lit(None)))
     elif name in K.PORTS:
-        port = canon_port(field["raw"])
-        place = F.coalesce(snapped, port["place"]) if snapped is not None else port["place"]
-        country = F.when(squash(port["country"]) != squash(place), port["country"])
-        parts = (place, F.when(snapped.isNull(), country) if snapped is not None else country, F.lit(None))
+        found = let(canon_port(field["raw"]), lambda p: value(p["place"], F.when(squash(p["country"]) != squash(p["place"]), p["country"]), F.lit(None)))
     elif name == "container_count":
-        parts = (none, none, container_count(field["raw"]).cast("double"))
+        found = value(none, none, container_count(field["raw"]))
     else:
-        parts = (none, none, weight_kg(field["raw"]))
-    text, more, number = parts
-    return F.when(field.isNotNull(), F.struct(text.cast("string").alias("text"), more.cast("string").alias("more"), number.cast("double").alias("number")))
+        found = value(none, none, weight_kg(field["raw"]))
+    return F.when(field.isNotNull(), found)
+
+
+def kind_of(name: str) -> str:
+    return "party" if name in K.PARTIES else "port" if name in K.PORTS else "count" if name == "container_count" else "weight"
+
+
+def value_of_kind(kind: Column, field: Column) -> Column:
+    """:func:`normal_value` of a field whose kind is a column."""
+    chain = F
+    for name in ("shipper", "port_of_loading", "container_count", "gross_weight_kg"):
+        chain = chain.when(kind == kind_of(name), normal_value(name, field))
+    return chain
 
 
 def shown(name: str, field: Column) -> Column:
@@ -51,29 +60,28 @@ def _verdict(verdict: str, reason: Column | str) -> Column:
     return F.struct(F.lit(verdict).alias("verdict"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
 
 
-def decide(name: str, si: Column, bl: Column, a: Column, b: Column, scanned: Column, si_stable: Column, bl_stable: Column, likeness: Column) -> Column:
+def decide(kind: str, name: Column, si: Column, bl: Column, a: Column, b: Column, scanned: Column, si_stable: Column, bl_stable: Column, likeness: Column) -> Column:
     """``verdict, reason`` of one field, of fields ``si``, ``bl`` and their normal values ``a``, ``b``.
 
     ``likeness`` is null where both texts are the same but for what isn't a letter or digit.
     """
     chain = F
     for side, field in (("SI", si), ("BL", bl)):
-        chain = chain.when(field.isNull(), _verdict("missing", f"{side} has no '{name}' field"))
+        chain = chain.when(field.isNull(), _verdict("missing", F.concat(F.lit(f"{side} has no '"), name, F.lit("' field"))))
         chain = chain.when(field["blank"], _verdict("missing", F.concat(F.lit(f"{side} value is blank/placeholder ("), quoted(field["raw"]), F.lit(")"))))
     chain = chain.when(~si_stable, _verdict("uncertain", "OCR passes disagree on the SI value"))
     chain = chain.when(~bl_stable, _verdict("uncertain", "OCR passes disagree on the BL value"))
     match = _verdict("match", "")
-    if name in (*K.PARTIES, *K.PORTS):
+    if kind in ("party", "port"):
         percent = F.bround(likeness, 0).cast("int").cast("string")
         near = scanned & (likeness >= K.NEAR_MISS)
         both = (F.coalesce(a["more"], F.lit("")) != "") & (F.coalesce(b["more"], F.lit("")) != "") & (squash(a["more"]) != squash(b["more"]))
         versus = F.concat(a["more"], F.lit(" vs "), b["more"], F.lit(")"))
-        party = name in K.PARTIES
-        if party:
+        if kind == "party":
             chain = chain.when(a["text"].isNull() | b["text"].isNull(), _verdict("missing", "party name empty"))
-        differs = "'on behalf of' party differs (" if party else "same place name, different country ("
-        what = "names" if party else "port names"
-        other = F.concat(F.lit("different party (similarity "), percent, F.lit(")")) if party else "different port"
+        differs = "'on behalf of' party differs (" if kind == "party" else "same place name, different country ("
+        what = "names" if kind == "party" else "port names"
+        other = F.concat(F.lit("different party (similarity "), percent, F.lit(")")) if kind == "party" else "different port"
         return (
             chain.when(likeness.isNull() & both, _verdict("mismatch", F.concat(F.lit(differs), versus)))
             .when(likeness.isNull(), match)
@@ -81,26 +89,20 @@ def decide(name: str, si: Column, bl: Column, a: Column, b: Column, scanned: Col
             .otherwise(_verdict("mismatch", other))
         )
     x, y = a["number"], b["number"]
-    same = x == y if name == "container_count" else F.abs(x - y) <= K.WEIGHT_TOLERANCE_KG
+    same = x == y if kind == "count" else F.abs(x - y) <= K.WEIGHT_TOLERANCE_KG
     return chain.when(x.isNull() | y.isNull(), _verdict("missing", "could not parse a number")).when(same, match).otherwise(_verdict("mismatch", F.concat(general(x), F.lit(" vs "), general(y))))
 
 
 def likeness_of(a: Column, b: Column) -> Column:
     """Likeness of two normal texts, null where they are the same."""
-    left, right = F.coalesce(squash(a["text"]), F.lit("")), F.coalesce(squash(b["text"]), F.lit(""))
-    return F.when(left != right, ratio(left, right))
+    both = F.struct(F.coalesce(squash(a["text"]), F.lit("")).alias("a"), F.coalesce(squash(b["text"]), F.lit("")).alias("b"))
+    return let(both, lambda t: F.when(t["a"] != t["b"], ratio(t["a"], t["b"])))
 
 
-def consensus(name: str, passes: Column, snaps: Column | None = None) -> Column:
+def consensus(kind: Column, name: Column, passes: Column) -> Column:
     """``field, stable`` of several readings: the first there is, and whether all have one normal value."""
-
-    def value(fields: Column, i: Column) -> Column:
-        field = F.try_element_at(fields, F.lit(name))
-        snap = F.get(snaps, i) if snaps is not None else None
-        return F.to_json(F.when(~field["blank"], normal_value(name, field, snap)))
-
-    values = F.transform(passes, lambda p, i: F.coalesce(value(p, i), F.lit("-")))
-    first = F.get(F.filter(F.transform(passes, lambda p: F.try_element_at(p, F.lit(name))), lambda f: f.isNotNull()), F.lit(0))
+    values = F.transform(passes, lambda p: let(F.try_element_at(p, name), lambda f: F.coalesce(F.to_json(F.when(~f["blank"], value_of_kind(kind, f))), F.lit("-"))))
+    first = F.get(F.filter(F.transform(passes, lambda p: F.try_element_at(p, name)), lambda f: f.isNotNull()), F.lit(0))
     return F.struct(first.alias("field"), (F.size(F.array_distinct(values)) == 1).alias("stable"))
 
 
@@ -116,49 +118,48 @@ def compare_documents(rows: DataFrame, corrections: str | None = None, result: s
     """``rows`` with an array of seven results, in the fields' order; null where ``si`` or ``bl`` is.
 
     ``si``, ``bl``: structs ``fields, pass_fields, ocr, lines, kind`` of the two documents. ``corrections``: the name
-    of a column, a struct ``si, bl`` of maps. What later steps use often is a column of its own, made once.
+    of a column, a struct ``si, bl`` of maps. One function is applied to the array of the seven fields, so the plan
+    doesn't grow with them, and what it uses often is bound once.
     """
-    names = rows.columns
-    sides = {"a": ("si", F.col("si")), "b": ("bl", F.col("bl"))}
+    si, bl = F.col("si"), F.col("bl")
+    scanned = si["ocr"] | bl["ocr"]
     fixed = F.lit(False) if corrections is None else F.col(corrections).isNotNull()
-    read = []
-    for i, name in enumerate(K.FIELDS):
-        for k, (_, doc) in sides.items():
-            found = F.struct(F.try_element_at(doc["fields"], F.lit(name)).alias("field"), F.lit(True).alias("stable"))
-            read.append(F.when(doc["ocr"] & doc["pass_fields"].isNotNull() & ~fixed, consensus(name, doc["pass_fields"])).otherwise(found).alias(f"_read_{k}{i}"))
-    notes = [table_note(doc["lines"], doc["fields"]).alias(f"_note_{k}") for k, (_, doc) in sides.items()]
-    out = rows.select("*", *read, *notes)
-    fields = []
-    for i, name in enumerate(K.FIELDS):
-        for k, (side, _) in sides.items():
-            field = F.col(f"_read_{k}{i}.field")
-            if corrections is not None:
-                entered = F.try_element_at(F.col(corrections)[side], F.lit(name))
-                field = F.coalesce(F.when(entered.isNotNull(), correction(entered)), field)
-            fields.append(field.alias(f"_field_{k}{i}"))
-    out = out.select("*", *fields)
-    out = out.select("*", *[normal_value(name, F.col(f"_field_{k}{i}")).alias(f"_value_{k}{i}") for i, name in enumerate(K.FIELDS) for k in sides])
-    out = out.select("*", *[likeness_of(F.col(f"_value_a{i}"), F.col(f"_value_b{i}")).alias(f"_like_{i}") for i, name in enumerate(K.FIELDS) if name in (*K.PARTIES, *K.PORTS)])
-    scanned = F.col("si.ocr") | F.col("bl.ocr")
-    told = []
-    for i, name in enumerate(K.FIELDS):
-        like = F.col(f"_like_{i}") if name in (*K.PARTIES, *K.PORTS) else F.lit(None)
-        told.append(decide(name, *[F.col(f"_{what}_{k}{i}") for what in ("field", "value") for k in sides], scanned, F.col(f"_read_a{i}.stable"), F.col(f"_read_b{i}.stable"), like).alias(f"_told_{i}"))
-    out = out.select("*", *told)
-    results = []
-    for i, name in enumerate(K.FIELDS):
-        told, a, b = F.col(f"_told_{i}"), F.col(f"_field_a{i}"), F.col(f"_field_b{i}")
-        verdict, reason = told["verdict"], told["reason"]
-        if name == "container_count":
-            note = F.when(verdict == "match", F.coalesce(F.concat(F.col("si.kind"), F.lit(": "), F.col("_note_a")), F.concat(F.col("bl.kind"), F.lit(": "), F.col("_note_b"))))
-            verdict, reason = F.when(note.isNotNull(), "uncertain").otherwise(verdict), F.coalesce(note, reason)
-        results.append(
-            F.struct(
-                F.lit(name).alias("field"), verdict.alias("verdict"), shown(name, a).alias("si"), shown(name, b).alias("bl"), reason.alias("reason"),
-                F.coalesce(a["evidence"], F.lit("")).alias("si_evidence"), F.coalesce(b["evidence"], F.lit("")).alias("bl_evidence"),
-            )
+    note = let(
+        F.struct(table_note(si["lines"], si["fields"]).alias("a"), table_note(bl["lines"], bl["fields"]).alias("b")),
+        lambda n: F.coalesce(F.concat(si["kind"], F.lit(": "), n["a"]), F.concat(bl["kind"], F.lit(": "), n["b"])),
+    )
+
+    def read(side: str, doc: Column, x: Column) -> Column:
+        found = F.struct(F.try_element_at(doc["fields"], x["name"]).alias("field"), F.lit(True).alias("stable"))
+        out = F.when(doc["ocr"] & doc["pass_fields"].isNotNull() & ~fixed, consensus(x["kind"], x["name"], doc["pass_fields"])).otherwise(found)
+        if corrections is None:
+            return out
+        entered = F.try_element_at(F.col(corrections)[side], x["name"])
+        return F.when(entered.isNotNull(), F.struct(correction(entered).alias("field"), F.lit(True).alias("stable"))).otherwise(out)
+
+    def told(x: Column, r: Column, v: Column, like: Column) -> Column:
+        chain = F
+        for kind in ("party", "port", "count", "weight"):
+            chain = chain.when(x["kind"] == kind, decide(kind, x["name"], r["a"]["field"], r["b"]["field"], v["a"], v["b"], scanned, r["a"]["stable"], r["b"]["stable"], like))
+        return chain
+
+    def result_of(x: Column, r: Column, t: Column) -> Column:
+        a, b = r["a"]["field"], r["b"]["field"]
+        demoted = (x["kind"] == "count") & (t["verdict"] == "match") & x["note"].isNotNull()
+        show = lambda f: F.when(x["kind"] == "party", shown("shipper", f)).otherwise(f["raw"])
+        return F.struct(
+            x["name"].alias("field"), F.when(demoted, "uncertain").otherwise(t["verdict"]).alias("verdict"), show(a).alias("si"), show(b).alias("bl"),
+            F.when(demoted, x["note"]).otherwise(t["reason"]).alias("reason"), F.coalesce(a["evidence"], F.lit("")).alias("si_evidence"), F.coalesce(b["evidence"], F.lit("")).alias("bl_evidence"),
         )
-    return out.select(*names, F.when(F.col("si").isNotNull() & F.col("bl").isNotNull(), F.array(*results)).alias(result))
+
+    def one(x: Column) -> Column:
+        reads = F.struct(read("si", si, x).alias("a"), read("bl", bl, x).alias("b"))
+        values = lambda r: F.struct(value_of_kind(x["kind"], r["a"]["field"]).alias("a"), value_of_kind(x["kind"], r["b"]["field"]).alias("b"))
+        like = lambda v: F.when(x["kind"].isin("party", "port"), likeness_of(v["a"], v["b"]))
+        return let(reads, lambda r: let(values(r), lambda v: let(like(v), lambda w: let(told(x, r, v, w), lambda t: result_of(x, r, t)))))
+
+    items = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(kind_of(n)).alias("kind"), (note if n == "container_count" else F.lit(None).cast("string")).alias("note")) for n in K.FIELDS])
+    return rows.withColumn(result, F.when(si.isNotNull() & bl.isNotNull(), F.transform(items, one)))
 
 
 def roll_up(fields: Column, scanned: Column | None = None) -> Column:
