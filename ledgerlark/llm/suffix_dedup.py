@@ -29,8 +29,8 @@ from .spans import joined_spans, told_spans
 
 #: A repeat has this many words; the n-gram that is hashed; the window. GRAM + WINDOW - 1 is MIN_WORDS.
 MIN_WORDS, GRAM, WINDOW = 50, 20, 31
-#: Documents whose positions may be broadcast: some hundred bytes each. More are joined by a shuffle.
-BROADCAST_DOCS = 50_000
+#: Ids that may be broadcast: eight to some tens of bytes each, so a few MB. More are joined by a shuffle.
+BROADCAST_IDS = 200_000
 _WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,7 +191,8 @@ def _earlier_neighbours(suffixes: DataFrame) -> DataFrame:
 def _with_first(suffixes: DataFrame) -> DataFrame:
     """Spans that a suffix shares with the earliest of its key, whichever tasks the two are sorted into."""
     schema = _found_schema(suffixes)
-    first = suffixes.groupBy("key").agg(F.min(F.struct("id", "pos", "right", "left")).alias("first"))
+    # Written, so that the join has two plain shuffles and Spark can split the key of a common passage.
+    first = written(suffixes.groupBy("key").agg(F.min(F.struct("id", "pos", "right", "left")).alias("first")))
     both = suffixes.join(first, "key").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,13 +223,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = written(texts.select("id", "text_a", "text_b").join(firsts, ["text_a", "text_b"]).where("id <> first_id").select("id").distinct())
     places = _suffixes(texts.select("id", "text", "text_a"), True).join(common, "key").join(copies, "id", "left_anti")
     by_text = written(places.groupBy("id").agg(F.collect_set(F.struct("key", "pos")).alias("places")))
-    near = F.broadcast(by_text) if by_text.count() <= BROADCAST_DOCS else by_text
-    suffixes = written(_contexts(texts.select("id", "text").join(near, "id")))
+    suffixes = written(_contexts(texts.select("id", "text").join(by_text, "id")))
     # Among suffixes alike to the right those with more to the left come first, so that they are met first.
     order = [F.asc("key"), F.asc("right"), F.desc("left"), F.asc("id"), F.asc("pos")]
     sorted_ones = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     later = _earlier_neighbours(sorted_ones).union(_with_first(suffixes)).select("id", F.struct("start", "end").alias("span"))
-    whole = texts.join(copies, "id", "left_semi") if copies.count() > BROADCAST_DOCS else texts.join(F.broadcast(copies), "id", "left_semi")
+    whole = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "id", "left_semi")
     n_words = F.regexp_count("text", F.lit(r"(?U)\S+")).cast("int")
     whole = whole.select("id", F.struct(F.lit(0).alias("start"), n_words.alias("end")).alias("span")).where(F.col("span.end") >= MIN_WORDS)
     out = later.union(whole).groupBy("id").agg(F.collect_set("span").alias("spans"))
