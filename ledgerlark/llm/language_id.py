@@ -31,6 +31,8 @@ SEED = 20240229
 BLOCK_CHARS, BLOCK_DOCS = 1_000_000, 256
 #: Trigram vectors in memory at once.
 BLOCK_GRAMS = 4096
+#: Texts whose vectors are in memory at once.
+AT_ONCE = 1024
 #: Languages that a model may know; a prototype is DIM floats, so this bounds what the driver and tasks hold to 32 MB.
 MAX_LANGUAGES = 8192
 UNKNOWN = "und"
@@ -113,8 +115,9 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                vectors = bundled(texts.tolist()).sum(0, np.float64)
-                total[lang] = total[lang] + vectors if lang in total else vectors
+                for a in range(0, len(texts), AT_ONCE):
+                    vectors = bundled(texts.iloc[a : a + AT_ONCE].tolist()).sum(0, np.float64)
+                    total[lang] = total[lang] + vectors if lang in total else vectors
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
@@ -128,6 +131,16 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(model.items()) if v.any()}
 
 
+def judged(texts: pd.Series, prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the place of the best prototype (their number, where it has no letter) and the cosine, 0 if negative."""
+    vectors = bundled([t or "" for t in texts])
+    sizes = np.linalg.norm(vectors, axis=1)
+    cosines = vectors @ prototypes.T / np.maximum(sizes, 1e-9)[:, None]
+    cosines = np.concatenate([cosines, np.full((len(cosines), 1), -2.0)], 1)
+    best = np.where(sizes > 0, cosines.argmax(1), len(prototypes))
+    return best, np.clip(np.where(sizes > 0, cosines[np.arange(len(best)), best], 0), 0, 1)
+
+
 def identify(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """Every row of ``df`` with ``lang_pred, score`` added (renamed if ``df`` has such names); score is the cosine, 0 if negative.
 
@@ -143,12 +156,8 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text"
     def told_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, prototypes = shared.value
         for texts in batches:
-            vectors = bundled([t or "" for t in texts])
-            sizes = np.linalg.norm(vectors, axis=1)
-            cosines = vectors @ prototypes.T / np.maximum(sizes, 1e-9)[:, None]
-            cosines = np.concatenate([cosines, np.full((len(cosines), 1), -2.0)], 1)
-            best = np.where(sizes > 0, cosines.argmax(1), len(names) - 1)
-            score = np.clip(np.where(sizes > 0, cosines[np.arange(len(best)), best], 0), 0, 1)
+            found = [judged(texts.iloc[a : a + AT_ONCE], prototypes) for a in range(0, len(texts), AT_ONCE)]
+            best, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
             yield pd.DataFrame({"lang_pred": names[best], "score": score.astype(float)})
 
     pred, score, told = fresh(df, "lang_pred", "score", "told")

@@ -45,6 +45,10 @@ class RecentCache:
         self.now.update(zip(missing, fill(missing), strict=True))
         return self.now
 
+    def settle(self) -> None:
+        """Forgets the older generation: what a task leaves behind in its worker is one generation at most."""
+        self.old = {}
+
 
 def blocks(texts: list[str], chars: int) -> list[tuple[int, int]]:
     """Runs of texts of about so many characters together; a longer text is a run of its own."""
