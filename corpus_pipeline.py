@@ -14,18 +14,18 @@ from ledgerlark.llm.columns import fresh, q
 from ledgerlark.sources.shared import written
 from ledgerlark.sources.tables import read_table
 
-#: Documents of a lower cosine than this with every language read like none of them; random letters stay below it.
-MIN_SCORE = 0.05
+#: Documents whose cosine with every language isn't above this read like none of them. Short clean texts can come close.
+MIN_SCORE = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like one of the languages learned from them; ``lang`` stays as it was labelled.
 
-    Texts that are null, empty or without letters go, as do those below MIN_SCORE.
+    Texts that are null, empty or without letters go, as do those not above MIN_SCORE.
     """
     model = language_id.learn(docs.where(~language_id.held_out("doc_id")))
     pred, score = fresh(docs, "lang_pred", "score")
-    kept = language_id.identify(docs, model).where((q(pred) != language_id.UNKNOWN) & (q(score) >= MIN_SCORE))
+    kept = language_id.identify(docs, model).where((q(pred) != language_id.UNKNOWN) & (q(score) > MIN_SCORE))
     return kept.select(*[q(c) for c in docs.columns])
 
 

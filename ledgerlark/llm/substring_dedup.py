@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence on, the shortest run of several sentences that is long enough is hashed. Hashes meet globally in
-a sum that Spark combines before it shuffles: how often each occurs, and where first. Those that occur again are
+From every sentence on, and up to every sentence, the shortest run of several sentences that is long enough is hashed,
+so a repeated passage is covered to both of its ends. Hashes meet globally in a sum that Spark combines before it shuffles: how often each occurs, and where first. Those that occur again are
 joined with the runs, and sentences that a run other than the first covers are removed.
 
 A passage that a third of all documents share is one key in the sum; in the join Spark splits it over tasks.
@@ -40,27 +40,37 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """Start, end and 128-bit hash of the run from each sentence on. Case and the kind of white space don't count."""
+def _enough(words: int, n: int) -> bool:
+    return words >= LONG_SENTENCE or words >= WORDS and n >= SENTENCES
+
+
+def shortest_runs(sizes: list[int]) -> set[tuple[int, int]]:
+    """First and last sentence of the shortest run that is long enough, from each sentence on and up to each sentence."""
+    found, start, total = set(), 0, 0
+    for end, size in enumerate(sizes):  # the shortest run up to each sentence
+        total += size
+        while start < end and _enough(total - sizes[start], end - start):
+            total -= sizes[start]
+            start += 1
+        if _enough(total, end - start + 1):
+            found.add((start, end))
+    end, total = len(sizes) - 1, 0
+    for start in range(len(sizes) - 1, -1, -1):  # and from each sentence on
+        total += sizes[start]
+        while end > start and _enough(total - sizes[end], end - start):
+            total -= sizes[end]
+            end -= 1
+        if _enough(total, end - start + 1):
+            found.add((start, end))
+    return found
+
+
+def runs(text: str) -> list[tuple[int, int, bytes]]:
+    """Start, end and 128-bit hash of each of those runs. Case and the kind of white space don't count."""
     spans = sentences(text)
     parts = [" ".join(text[a:b].lower().split()) for a, b in spans]
-    sizes = [p.count(" ") + 1 for p in parts]
-    out, end, total = [], 0, 0
-    for i in range(len(spans)):
-        if end <= i:
-            end, total = i, 0
-        while end < len(spans) and not (total >= LONG_SENTENCE or total >= words and end - i >= least):
-            total += sizes[end]
-            end += 1
-        # What was taken for the sentence before can be more than this one needs.
-        while end - 1 > i and (total - sizes[end - 1] >= LONG_SENTENCE or total - sizes[end - 1] >= words and end - 1 - i >= least):
-            end -= 1
-            total -= sizes[end]
-        if not (total >= LONG_SENTENCE or total >= words and end - i >= least):
-            break
-        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_128_digest("\n".join(parts[i:end]).encode())))
-        total -= sizes[i]
-    return out
+    chosen = shortest_runs([p.count(" ") + 1 for p in parts])
+    return [(spans[i][0], spans[j][1], xxhash.xxh3_128_digest("\n".join(parts[i : j + 1]).encode())) for i, j in sorted(chosen)]
 
 
 def sentence_runs(df: DataFrame, id_col: str, text_col: str, with_place: bool) -> DataFrame:

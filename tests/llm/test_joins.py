@@ -123,17 +123,12 @@ def test_substring_dedup(spark):
 
 def brute_runs(text):
     spans = substring_dedup.sentences(text)
-    parts = [" ".join(text[a:b].lower().split()) for a, b in spans]
-    out = []
-    for i in range(len(spans)):
-        for j in range(i + 1, len(spans) + 1):
-            words = sum(len(p.split()) for p in parts[i:j])
-            if words >= substring_dedup.LONG_SENTENCE or words >= substring_dedup.WORDS and j - i >= substring_dedup.SENTENCES:
-                out.append((spans[i][0], spans[j - 1][1]))
-                break
-        else:
-            break
-    return out
+    sizes = [len(text[a:b].split()) for a, b in spans]
+    n = len(spans)
+    long = [(i, j) for i in range(n) for j in range(i, n) if sum(sizes[i : j + 1]) >= substring_dedup.LONG_SENTENCE or sum(sizes[i : j + 1]) >= substring_dedup.WORDS and j - i + 1 >= substring_dedup.SENTENCES]
+    shortest = {min((x for x in long if x[0] == i), key=lambda x: x[1], default=None) for i in range(n)}
+    shortest |= {max((x for x in long if x[1] == j), key=lambda x: x[0], default=None) for j in range(n)}
+    return sorted((spans[i][0], spans[j][1]) for i, j in shortest - {None})
 
 
 def test_runs():
@@ -208,7 +203,8 @@ def test_pipeline_stages(spark, docs):
         assert kept.columns == more.columns
         after = {r.doc_id: r.text for r in kept.collect()}
         if name == "language_id":
-            assert set(before) - set(after) == {i for i, t in before.items() if not any(c.isalpha() for c in t or "")}
+            assert not {i for i, t in after.items() if not any(c.isalpha() for c in t or "")}
+            assert {i for i, t in before.items() if len((t or "").split()) > 20} <= set(after)
         if name == "ngram_jaccard_join":
             assert [i for i in after if i is not None and i >= 1000] == [1000]
     assert all("@" not in (t or "") for t in after.values())
