@@ -79,9 +79,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`exact_dedup` keeps, with the columns of ``df``."""
+    """One row of ``df`` for each text, with the columns of ``df``: of rows that repeat the kept id too, any one.
+
+    Only rows of groups are compared for that, so no more than one row per group and task is shuffled.
+    """
     out = exact_dedup(df, id_col, text_col)
-    return out.where(q(out.columns[-2])).select(*[q(c) for c in df.columns])
+    n_rows, kept = (q(c) for c in out.columns[-3:-1])
+    alone, grouped = out.where(n_rows == 1), out.where((n_rows > 1) & kept)
+    return alone.union(grouped.dropDuplicates([id_col, out.columns[-1]])).select(*[q(c) for c in df.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
