@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .columns import fresh, q
+from .columns import fresh, in_small_batches, q
 from .vocabulary import RecentCache, blocks, read_vocabulary, tokenizer, vocabulary_file
 
 #: Characters that are tokenized together, and distinct chunks that a worker remembers.
@@ -207,7 +207,7 @@ def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None
     (told,) = fresh(df, "told")
     names = [c.split()[0] for c in schema.split(", ")]
     added = fresh(df, *names)
-    out = df.withColumn(told, told_of(q(text_col)))
+    out = in_small_batches(df).withColumn(told, told_of(q(text_col)))
     return out.select(*[q(c) for c in df.columns], *[q(told)[n].alias(a) for n, a in zip(names, added, strict=True)])
 
 

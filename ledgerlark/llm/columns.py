@@ -31,3 +31,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def q(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Bytes of an Arrow batch. Rows alone don't bound it: ten thousand long texts are a GB.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches bounded in bytes, unless its configuration already says how."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_LIMIT):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    return df

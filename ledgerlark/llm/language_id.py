@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .columns import fresh, q
+from .columns import fresh, in_small_batches, q
 
 DIM = 1024
 SEED = 20240229
@@ -121,7 +121,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
-    rows = df.select(q(lang_col).alias("lang"), q(text_col).alias("text")).dropna()
+    rows = in_small_batches(df).select(q(lang_col).alias("lang"), q(text_col).alias("text")).dropna()
     vectors = rows.mapInPandas(sums, "lang string, vector array<double>").select("lang", array_to_vector("vector").alias("vector"))
     summed = vectors.groupBy("lang").agg(vector_to_array(Summarizer.sum(F.col("vector"))).alias("vector"))
     found = summed.limit(MAX_LANGUAGES + 1).collect()
@@ -161,7 +161,7 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text"
             yield pd.DataFrame({"lang_pred": names[best], "score": score.astype(float)})
 
     pred, score, told = fresh(df, "lang_pred", "score", "told")
-    out = df.withColumn(told, told_of(q(text_col)))
+    out = in_small_batches(df).withColumn(told, told_of(q(text_col)))
     return out.select(*[q(c) for c in df.columns], q(told)["lang_pred"].alias(pred), q(told)["score"].alias(score))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
+from .columns import in_small_batches
 
 #: Rows of a block of queries and of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
@@ -124,7 +125,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     take no part; vectors of different lengths are never compared; rows of the query's own id are not its candidates;
     rows that repeat id and vector count once; without a query the result is empty.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = in_small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("id", "vector", "asks")
     dtype = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
     asked = written(blocks_of(rows.where("asks").select("id", "vector"), QUERY_BLOCK, dtype).withColumn("block", F.monotonically_increasing_id()))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import q
+from .columns import in_small_batches, q
 from .components import components
 
 N = 5
@@ -237,7 +237,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     runs = runs_needed(depth, recall, similar)
     if runs * depth > SKETCH:
         raise ValueError("the sketch is too small for so many runs")
-    rows = written(sketches(df, id_col, text_col, n, runs, depth))
+    rows = written(sketches(in_small_batches(df), id_col, text_col, n, runs, depth))
     sets = rows.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     sets = written(sets)
     able = sets.where(F.col("rep").isNotNull())

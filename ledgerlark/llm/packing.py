@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..sources.tables import read_table
-from .columns import q
+from .columns import in_small_batches, q
 from .vocabulary import RecentCache, blocks, read_vocabulary, tokenizer, vocabulary_file
 
 WINDOW = 4096
@@ -197,7 +197,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield frame(dealt(waiting))
         words.cache.settle()
 
-    return df.select(q(id_col), q(text_col)).mapInPandas(pieces, schema)
+    return in_small_batches(df).select(q(id_col), q(text_col)).mapInPandas(pieces, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

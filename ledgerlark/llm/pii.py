@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .columns import fresh, q
+from .columns import fresh, in_small_batches, q
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -213,7 +213,7 @@ def find_pii(df: DataFrame, text_col: str = "text", result_col: str = "pii") ->
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
 
     (name,) = fresh(df, result_col)
-    return df.withColumn(name, spans_of(q(text_col)))
+    return in_small_batches(df).withColumn(name, spans_of(q(text_col)))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import q
+from .columns import in_small_batches, q
 from .spans import joined_spans, told_spans
 
 #: A run has this many sentences and words at least; one sentence makes a run by itself from LONG_SENTENCE words on.
@@ -108,7 +108,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are never read; an empty table gives an empty result.
     """
     first = F.min(F.struct(F.col("id").alias("first_id"), F.col("start").alias("first_start"))).alias("first")
-    counted = sentence_runs(df, id_col, text_col, False).groupBy("high", "low").agg(F.count("*").alias("n"), first)
+    counted = sentence_runs(in_small_batches(df), id_col, text_col, False).groupBy("high", "low").agg(F.count("*").alias("n"), first)
     again = written(counted.where("n > 1").select("high", "low", "first"))
     found = sentence_runs(df, id_col, text_col, True).join(again, ["high", "low"])
     same = F.col("id").eqNullSafe(F.col("first.first_id")) & (F.col("start") == F.col("first.first_start"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import q
+from .columns import in_small_batches, q
 from .spans import joined_spans, told_spans
 
 #: A repeat has this many words; the n-gram that is hashed; the window. GRAM + WINDOW - 1 is MIN_WORDS.
@@ -215,7 +215,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read whole; other columns are never read; an empty table gives an empty result.
     """
     text = F.coalesce(q(text_col), F.lit(""))
-    texts = df.select(q(id_col).alias("id"), text.alias("text"), *_digest(text)).where(F.col("id").isNotNull())
+    texts = in_small_batches(df).select(q(id_col).alias("id"), text.alias("text"), *_digest(text)).where(F.col("id").isNotNull())
     # Keys that occur in two texts, or twice in one: copies of one text don't make a key common.
     seen = _suffixes(texts.select("text", "text_a"), False).groupBy("key").agg(F.min("text_a").alias("a"), F.max("text_a").alias("b"), F.max("again").alias("again"))
     common = written(seen.where("a <> b or again").select("key"))
