@@ -34,11 +34,16 @@ GROUP = 1024
 #: Characters that are encoded together, and distinct words that a worker remembers (twice that at most, some 200 bytes each).
 BLOCK_CHARS, CACHED = 4_000_000, 300_000
 #: Texts of plain characters are cut into the pre-tokenizer's words here, so that each distinct word is encoded once.
-_OTHER = re.compile(r"[^\n\r\t -&(-~À-ÿ]|<\|")
+_OTHER = re.compile(r"[^\n\r\t -&(-~À-ÿ]")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
 _JOINED = 2000
 
 
+def is_plain(text: str) -> bool:
+    """Whether _WORDS cuts the text as the tokenizer does: usual characters alone, and nothing like a special token."""
+    return not _OTHER.search(text) and "<|" not in text
+
+
 class WordIds:
     """Ids by the tokenizers library, as little-endian 32-bit bytes; white space only separates words."""
 
@@ -76,11 +81,11 @@ class WordIds:
 
     def keys(self, text: str) -> list[str]:
         """Parts of ``text`` that are encoded apart: words where it is plain, else what stands between spaces."""
-        if not _OTHER.search(text):
+        if is_plain(text):
             return _WORDS.findall(text.lower())
         found = []
         for chunk in text.split(" "):
-            if _OTHER.search(chunk):
+            if not is_plain(chunk):
                 self.others.add(chunk)
                 found.append(chunk)
             else:
