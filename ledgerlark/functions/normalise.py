@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import COUNTRY_ALIASES, NUMBER_WORDS, PORT_ALIASES, POUND_KG, SUFFIXES
-from .text import strip
+from .text import let, strip
 
 
 def lookup(c: Column, table: dict) -> Column:
@@ -51,19 +51,27 @@ _WEIGHT = r"(\d[\d.,\s]*)\s*(KGS?|MTS?|TONS?|TONNES?|T|LBS?)?\b"
 
 def weight_kg(c: Column) -> Column:
     """The first number with its unit, in kg: a lone separator before three digits is one of thousands for kg."""
-    text = strip(F.upper(c))
-    number = F.regexp_replace(F.replace(strip(F.regexp_extract(text, _WEIGHT, 1)), F.lit(" "), F.lit("")), "[.,]+$", "")
-    unit = F.coalesce(F.nullif(F.regexp_extract(text, _WEIGHT, 2), F.lit("")), F.lit("KG"))
-    comma, dot = number.contains(","), number.contains(".")
-    by_comma = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    by_dot = F.replace(number, F.lit(","), F.lit(""))
-    comma_last = F.instr(F.reverse(number), ",") < F.instr(F.reverse(number), ".")
-    plain = (
-        F.when(comma & dot, F.when(comma_last, by_comma).otherwise(by_dot))
-        .when(comma, F.when(number.rlike(r"^\d{1,3}(,\d{3})+$"), by_dot).otherwise(F.replace(number, F.lit(","), F.lit("."))))
-        .when(dot & number.rlike(r"^\d{1,3}(\.\d{3})+$") & unit.isin("KG", "KGS"), F.replace(number, F.lit("."), F.lit("")))
-        .otherwise(number)
-    )
-    value = F.nullif(plain, F.lit("")).try_cast("double")
-    tons = unit.startswith("MT") | unit.startswith("TON") | (unit == "T")
-    return F.round(F.when(tons, value * 1000).when(unit.startswith("LB"), value * POUND_KG).otherwise(value), 3)
+
+    def read(text: Column) -> Column:
+        number = F.regexp_replace(F.replace(strip(F.regexp_extract(text, _WEIGHT, 1)), F.lit(" "), F.lit("")), "[.,]+$", "")
+        unit = F.coalesce(F.nullif(F.regexp_extract(text, _WEIGHT, 2), F.lit("")), F.lit("KG"))
+        return F.struct(number.alias("number"), unit.alias("unit"))
+
+    def plain(number: Column, unit: Column) -> Column:
+        comma, dot = number.contains(","), number.contains(".")
+        by_comma = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        by_dot = F.replace(number, F.lit(","), F.lit(""))
+        comma_last = F.instr(F.reverse(number), ",") < F.instr(F.reverse(number), ".")
+        return (
+            F.when(comma & dot, F.when(comma_last, by_comma).otherwise(by_dot))
+            .when(comma, F.when(number.rlike(r"^\d{1,3}(,\d{3})+$"), by_dot).otherwise(F.replace(number, F.lit(","), F.lit("."))))
+            .when(dot & number.rlike(r"^\d{1,3}(\.\d{3})+$") & unit.isin("KG", "KGS"), F.replace(number, F.lit("."), F.lit("")))
+            .otherwise(number)
+        )
+
+    def in_kg(value: Column, unit: Column) -> Column:
+        tons = unit.startswith("MT") | unit.startswith("TON") | (unit == "T")
+        return F.round(F.when(tons, value * 1000).when(unit.startswith("LB"), value * POUND_KG).otherwise(value), 3)
+
+    parts = let(strip(F.upper(c)), read)
+    return let(parts, lambda p: let(F.nullif(plain(p["number"], p["unit"]), F.lit("")).try_cast("double"), lambda v: in_kg(v, p["unit"])))

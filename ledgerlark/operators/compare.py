@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.normalise import canon_name, canon_port, container_count, weight_kg
 from ..functions.similarity import ratio, ratio_udf
-from ..functions.text import general, quoted, squash
-from .extract import correction, let, party_lines
+from ..functions.text import general, let, quoted, squash
+from .extract import correction, party_lines
 
 RESULT_TYPE = "struct<field:string,verdict:string,si:string,bl:string,reason:string,si_evidence:string,bl_evidence:string>"
 

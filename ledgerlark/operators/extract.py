@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELDS, LABEL_ALIASES, LABEL_LIKENESS, LABELS, NET_WEIGHT, PARTIES
 from ..functions.similarity import ratio_of
-from ..functions.text import is_placeholder, strip, strip_cjk
+from ..functions.text import is_placeholder, let, strip, strip_cjk
 
 FIELD_TYPE = "struct<raw:string,block:array<string>,blank:boolean,evidence:string,wrapped:boolean>"
 HIT_TYPE = "struct<field:string,value:string>"
@@ -60,11 +60,6 @@ def _hits(line: Column) -> Column:
     return F.filter(F.array(*found), lambda h: h.isNotNull())
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _read(raw: Column, line: Column, scanned: Column) -> Column:
     return F.struct(
         raw.alias("raw"),
