@@ -232,3 +232,14 @@ def test_report_shapes(spark, tmp_path):
     (tmp_path / "map.json").write_text('{"b": {"status": "MISMATCH"}}')
     read = lambda name: [tuple(r) for r in I.read_report(spark, str(tmp_path / name), "email_id:string,status:string").collect()]
     assert read("list.json") == [("a", "OK")] and read("map.json") == [("b", "MISMATCH")]
+
+
+def test_command_line(spark, folder, tmp_path):
+    from ledgerlark.__main__ import main
+
+    main([str(folder), "--out", str(tmp_path)])
+    before = {r.email_id: r.status for r in spark.read.json(f"{tmp_path}/report").collect()}
+    (tmp_path / "r.json").write_text('{"email_03": {"decision": "OK"}, "email_04": {"decision": "OK"}}')
+    main([str(folder), "--out", str(tmp_path), "--resolutions", str(tmp_path / "r.json"), "--retry", "email_03"])
+    after = {r.email_id: r.status for r in spark.read.json(f"{tmp_path}/report").collect()}
+    assert after == {**before, "email_03": "OK"}
