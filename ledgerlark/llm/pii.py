@@ -125,6 +125,8 @@ _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_D
 _DISGUISE = re.compile(rf"(?i)(?P<dot>{_DOT})|(?P<at>{_AT})")
 _NUMERIC_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
 _BRACKET = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
+#: What an address has that is disguised by the bare word at alone; any other has the letters dot or a bracket.
+_BARE_AT = re.compile(rf"(?i)\sat\s+{_LABEL}\.")
 
 
 def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
@@ -153,7 +155,7 @@ def normalised(text: str) -> Tape | None:
     low = tape.text.lower()
     if sum(word in low for word in DIGIT_WORDS):
         tape.rewrite(_spelled_edits(tape.text))
-    if "dot" in low or _BRACKET.search(low):
+    if "dot" in low or _BRACKET.search(tape.text) or _BARE_AT.search(tape.text):
         tape.rewrite(_disguise_edits(tape.text))
     return None if tape.text == text else tape
 

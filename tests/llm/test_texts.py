@@ -127,6 +127,13 @@ def test_disguises(text, kind, found):
     assert all(set(base[k]) <= set(spans[k]) for k in pii.KINDS)
 
 
+@pytest.mark.parametrize("more", ["", " An anecdote.", " [at] the gate"])
+def test_an_address_does_not_depend_on_other_words(more):
+    text = "write to jane at example.com or bob.b\tAT\tmail.example.org today." + more
+    _, spans = pii.all_spans(text)
+    assert [text[a:b] for a, b in spans["email"]] == ["jane at example.com", "bob.b\tAT\tmail.example.org"]
+
+
 def test_pii_table(spark, docs):
     got = pii.find_pii(clashing(docs))
     for r in got.collect():
