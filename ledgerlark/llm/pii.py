@@ -110,12 +110,22 @@ HOMOGLYPHS = (
 )
 _ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "­​-‍⁠﻿]")
 
-DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _SIGNS = {"dot": ".", "point": ".", "plus": "+", "dash": "-", "hyphen": "-"}
 _WORD = "|".join(DIGIT_WORDS)
-#: Four digit words at least, apart by spaces, commas, hyphens or the words for signs.
-_SPELLED = re.compile(rf"(?i)\b(?:plus\s+)?(?:{_WORD})\b(?:[\s,-]+(?:(?:dot|point|dash|hyphen)[\s,-]+)?(?:{_WORD})\b){{3,}}")
-_SPELLED_PART = re.compile(rf"(?i)[\s,-]*\b({_WORD}|{'|'.join(_SIGNS)})\b")
+_ANY_WORD = re.compile(rf"(?i)\b(?:{_WORD})\b")
+#: What may lie between two digits that are read as one run: a sign's word, a bracketed or plain point, or separators.
+_GAP = r"(?:[\s,(\[{<-]++(?:dot|point|dash|hyphen)[\s,)\]}>-]++|\s*+[\[({<]\s*+\.\s*+[\])}>]\s*+|[\s,()-]++|\.)"
+
+
+def _run_of(unit: str) -> re.Pattern:
+    return re.compile(rf"(?i)(?:\bplus\s+)?\b{unit}\b(?:{_GAP}\b{unit}\b)+")
+
+
+#: Two digits at least: of digit words alone, and of digit words and numerals together.
+_WORDS_ALONE, _MIXED = _run_of(f"(?:{_WORD})"), _run_of(f"(?:{_WORD}|[0-9]++)")
+_UNIT = re.compile(rf"(?i)\b(?:{_WORD}|[0-9]++)\b")
+_SIGN = re.compile(r"(?i)dot|point|dash|hyphen|\.")
 
 _LABEL = "[A-Za-z0-9-]+"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
@@ -129,11 +139,26 @@ _BRACKET = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
 _BARE_AT = re.compile(rf"(?i)\sat\s+{_LABEL}\.")
 
 
-def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    for run in _SPELLED.finditer(text):
-        for m in _SPELLED_PART.finditer(text, *run.span()):
-            word = m[1].lower()
-            yield (m.start() if m.start() > run.start() else m.start(1)), m.end(), DIGIT_WORDS.get(word) or _SIGNS[word]
+def _spelled_edits(text: str, runs: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """Digits for the digit words of each run that has any, and signs or nothing for what parts them from their neighbours."""
+    for run in runs.finditer(text):
+        if not _ANY_WORD.search(run[0]):
+            continue
+        before = None
+        for m in _UNIT.finditer(text, *run.span()):
+            digit = DIGIT_WORDS.get(m[0].lower())
+            if before is not None:
+                gap = text[before[0] : m.start()]
+                sign = _SIGN.search(gap)
+                if sign and gap != ".":
+                    yield before[0], m.start(), _SIGNS.get(sign[0].lower(), ".")
+                elif not sign and (digit or before[1]):
+                    yield before[0], m.start(), ""
+            elif m.start() > run.start():
+                yield run.start(), m.start(), "+"
+            if digit:
+                yield m.start(), m.end(), digit
+            before = m.end(), digit
 
 
 def _disguise_edits(text: str) -> Iterator[tuple[int, int, str]]:
@@ -147,31 +172,51 @@ def _disguise_edits(text: str) -> Iterator[tuple[int, int, str]]:
         yield a, b, new
 
 
-def normalised(text: str) -> Tape | None:
-    """What the transducers make of ``text``, or None where they'd change nothing."""
+def _normalised(text: str, runs: re.Pattern | None) -> Tape:
+    """What the transducers make of ``text`` with the spelled digits of such runs."""
     tape = Tape(text)
     if not text.isascii() and _ODD.search(text):
         tape.rewrite((m.start(), m.end(), HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(text))
-    low = tape.text.lower()
-    if sum(word in low for word in DIGIT_WORDS):
-        tape.rewrite(_spelled_edits(tape.text))
-    if "dot" in low or _BRACKET.search(tape.text) or _BARE_AT.search(tape.text):
+    if runs is not None:
+        tape.rewrite(_spelled_edits(tape.text, runs))
+    if "dot" in tape.text.lower() or _BRACKET.search(tape.text) or _BARE_AT.search(tape.text):
         tape.rewrite(_disguise_edits(tape.text))
-    return None if tape.text == text else tape
+    return tape
+
+
+def readings(text: str) -> list[Tape]:
+    """What the transducers make of ``text``: with no spelled digit read, those of words alone, and those of mixed runs.
+
+    A word beside an identifier ("4111 1111 1111 1111 one") may belong to it or not, so each reading counts. Readings
+    that are alike count once, those that change nothing not at all.
+    """
+    tapes = [_normalised(text, None)]
+    if _ANY_WORD.search(text if text.isascii() else tapes[0].text):
+        tapes += [_normalised(text, runs) for runs in (_WORDS_ALONE, _MIXED)]
+    return list({t.text: t for t in tapes if t.text != text}.values())
 
 
 def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
     return [s for s in spans if all(s[1] <= t[0] or t[1] <= s[0] for t in taken)]
 
 
+def _longest(spans: set[Span]) -> list[Span]:
+    """Of spans that overlap the longest."""
+    kept: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        kept += _free([s], kept)
+    return kept
+
+
 def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans, and base spans with those that the transducers reveal, by kind and in order."""
     base = base_spans(text)
-    tape = normalised(text)
-    if tape is None:
+    tapes = readings(text)
+    if not tapes:
         return base, base
-    revealed = {k: sorted({(tape.starts[a], tape.ends[b - 1]) for a, b in spans}) for k, spans in base_spans(tape.text).items()}
-    return base, {k: sorted([*base[k], *_free(revealed[k], base[k])]) for k in KINDS}
+    found = [(t, base_spans(t.text)) for t in tapes]
+    revealed = {k: {(t.starts[a], t.ends[b - 1]) for t, spans in found for a, b in spans[k]} for k in KINDS}
+    return base, {k: sorted([*base[k], *_longest(set(_free(revealed[k], base[k])))]) for k in KINDS}
 
 
 def told(spans: dict[str, list[Span]]) -> str:

@@ -134,6 +134,24 @@ def test_an_address_does_not_depend_on_other_words(more):
     assert [text[a:b] for a, b in spans["email"]] == ["jane at example.com", "bob.b\tAT\tmail.example.org"]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call +1 four one five 555 0199 now", "phone", "+1 four one five 555 0199"),
+        ("call plus 1 (four one five) 555-oh one nine nine.", "phone", "plus 1 (four one five) 555-oh one nine nine"),
+        ("from one nine two dot 168 dot one dot one.", "ip", "one nine two dot 168 dot one dot one"),
+        ("from one nine two [dot] 168 [.] one.1 today", "ip", "one nine two [dot] 168 [.] one.1"),
+        ("pay 4111 one 111 one 111 one 111 today", "card", "4111 one 111 one 111 one 111"),
+        ("card \uff14111 1111 1111 1111 one", "card", "\uff14111 1111 1111 1111"),
+        ("four one one one one one one one one one one one one one one one, 5 apples", "card", "four one one one one one one one one one one one one one one one"),
+        ("one of 12 or two 3 and oh well", "card", None),
+    ],
+)
+def test_mixed_digits(text, kind, found):
+    _, spans = pii.all_spans(text)
+    assert [text[a:b] for a, b in spans[kind]] == ([found] if found else [])
+
+
 def test_pii_table(spark, docs):
     got = pii.find_pii(clashing(docs))
     for r in got.collect():
