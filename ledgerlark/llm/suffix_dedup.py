@@ -7,8 +7,9 @@ each is compared with its nearest earlier ones in that order, and a match is ext
 What is reported always occurs before, so the first occurrence of any passage stays.
 
 The sort is Spark's range sort down to the document and position, so suffixes that a third of all texts share lie in
-many tasks; that such a task misses what lies in others is made up for by comparing each suffix with the earliest of
-its key. A suffix carries no more than MIN_WORDS words to either side: what a longer repeat has beyond that, its next
+many tasks; that such a task misses what lies in others, and that neighbours share the most to the right but not to
+both sides, is made up for by comparing each suffix with the earliest of its key, and by hashes of the passages of
+MIN_WORDS words around it that it doesn't share with that one. A suffix carries no more than MIN_WORDS words to either side: what a longer repeat has beyond that, its next
 minimiser covers.
 """
 
@@ -188,20 +189,60 @@ def _earlier_neighbours(suffixes: DataFrame) -> DataFrame:
     return suffixes.mapInPandas(walk, schema)
 
 
+_SPLITS = np.arange(MIN_WORDS - GRAM + 1)
+
+
+def _sums(column: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes in words, and 64-bit sums over the first 0, 1, ... MIN_WORDS words of each row, weighted by place."""
+    words = np.frombuffer(b"".join([x.ljust(4 * MIN_WORDS, b"\0") for x in column]), ">u4").reshape(-1, MIN_WORDS).astype(np.uint64)
+    mixed = (words + np.uint64(1)) * _MIX
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * weights
+    return np.array([len(x) // 4 for x in column]), np.concatenate([np.zeros((len(column), 1), np.uint64), mixed.cumsum(1, dtype=np.uint64)], 1)
+
+
+def _windows(rows: pd.DataFrame, right: np.ndarray, left: np.ndarray) -> pd.DataFrame:
+    """Every passage of MIN_WORDS words around a suffix's n-gram that the suffix doesn't share with the first of its key.
+
+    The passages of suffixes of one key are alike where key and hash are, with as many words to the left.
+    """
+    weights = np.random.default_rng(GRAM).integers(0, 2**63, (2, MIN_WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
+    (n_right, sum_right), (n_left, sum_left) = (_sums(rows[c].tolist(), w) for c, w in zip(("right", "left"), weights, strict=True))
+    ahead = MIN_WORDS - _SPLITS
+    there = (_SPLITS <= n_left[:, None]) & (ahead <= n_right[:, None])
+    row, split = np.nonzero(there & ~((_SPLITS <= left[:, None]) & (ahead <= right[:, None])))
+    hashes = (sum_left[row, split] + sum_right[row, MIN_WORDS - split] + split.astype(np.uint64)) * _MIX
+    start = (rows["pos"].to_numpy()[row] - split).astype("int32")
+    return pd.DataFrame({"id": rows["id"].to_numpy()[row], "start": start, "end": start + np.int32(MIN_WORDS), "key": rows["key"].to_numpy()[row], "hash": (hashes ^ (hashes >> np.uint64(32))).view(np.int64)})
+
+
 def _with_first(suffixes: DataFrame) -> DataFrame:
-    """Spans that a suffix shares with the earliest of its key, whichever tasks the two are sorted into."""
-    schema = _found_schema(suffixes)
+    """Spans that a suffix shares with the earliest of its key, and with any other, whichever tasks they are sorted into.
+
+    A passage that a suffix shares with the first of its key is told by that. Its other passages of MIN_WORDS words are
+    told where the same one, by hash, is found around an earlier suffix; of keys that two suffixes have there is none.
+    """
+    schema = T.StructType([*_found_schema(suffixes), T.StructField("key", T.LongType()), T.StructField("hash", T.LongType())])
     # Written, so that the join has two plain shuffles and Spark can split the key of a common passage.
-    first = written(suffixes.groupBy("key").agg(F.min(F.struct("id", "pos", "right", "left")).alias("first")))
+    first = written(suffixes.groupBy("key").agg(F.min(F.struct("id", "pos", "right", "left")).alias("first"), F.count("*").alias("n")))
     both = suffixes.join(first, "key").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                right, left = (_common([x for two in zip(batch[f"first_{c}"], batch[c], strict=True) for x in two])[::2] for c in ("right", "left"))
-                yield _spans(batch["id"].tolist(), batch["pos"].to_numpy(), right, left)
-
-    return both.select("id", "pos", "right", "left", F.col("first.right").alias("first_right"), F.col("first.left").alias("first_left")).mapInPandas(compare, schema)
+            for at in range(0, len(batch), 4000):
+                part = batch.iloc[at : at + 4000]
+                right, left = (_common([x for two in zip(part[f"first_{c}"], part[c], strict=True) for x in two])[::2] for c in ("right", "left"))
+                yield _spans(part["id"].tolist(), part["pos"].to_numpy(), right, left).assign(key=None, hash=None)
+                more = part["n"].to_numpy() > 2
+                if more.any():
+                    yield _windows(part[more], right[more], left[more])
+
+    told = both.select("key", "n", "id", "pos", "right", "left", F.col("first.right").alias("first_right"), F.col("first.left").alias("first_left"))
+    found = written(told.mapInPandas(compare, schema))
+    windows = found.where("hash is not null")
+    earliest = written(windows.groupBy("key", "hash").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    again = windows.join(earliest, ["key", "hash"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+    return found.where("hash is null").select("id", "start", "end").union(again.select("id", "start", "end"))
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

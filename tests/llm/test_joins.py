@@ -159,6 +159,16 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_left_of_boilerplate(spark):
+    """Passages of 20 own words and 40 that all documents hold, each in two of them."""
+    common = passage(1, 40)
+    rows = [(i, f"{passage(1000 + i, 40)} {common} end{i} {passage(3000 + i, 40)}") for i in range(200)]
+    rows += [(500 + 10 * i + j, f"{passage(5000 + 2 * i + j, 39)} own{i}{j} {passage(7000 + i, 20)} {common} last{i}{j} {passage(9000 + 2 * i + j, 40)}") for i in range(8) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == {501 + 10 * i: [(40, 100)] for i in range(8)}
+
+
 def test_a_passage_has_a_minimiser():
     rng = np.random.default_rng(2)
     shared = rng.integers(0, 2**63, 50, np.uint64)
