@@ -6,7 +6,7 @@ and reads it again for the next, so a lost executor never costs more than its st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import exact_dedup, language_id, ngram_join, packing, pii
@@ -14,18 +14,37 @@ from ledgerlark.llm.columns import fresh, q
 from ledgerlark.sources.shared import written
 from ledgerlark.sources.tables import read_table
 
-#: Documents whose cosine with every language isn't above this read like none of them. Short clean texts can come close.
+#: Documents whose cosine with every language isn't above this read like none of them, whatever their length.
 MIN_SCORE = 0.0
+#: The share of a length class's labelled documents that may score below its threshold, and how many of them set one.
+LOST, LEAST = 0.001, 20
+
+
+def _length_class(text: Column) -> Column:
+    """Texts of the same power of two of characters."""
+    return F.floor(F.log2(F.length(text) + F.lit(1))).cast("int")
+
+
+def thresholds(scored: DataFrame, lang: str, size: str, score: str) -> dict[int, float]:
+    """Score that all but LOST of the labelled documents reach, by length class; classes of fewer than LEAST have none."""
+    low = scored.where(q(lang).isNotNull() & (q(score) > MIN_SCORE)).groupBy(q(size).alias("size"))
+    rows = low.agg(F.count("*").alias("n"), F.percentile_approx(q(score), LOST, 100_000).alias("least")).where(F.col("n") >= LEAST)
+    return {r["size"]: r["least"] for r in rows.collect()}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like one of the languages learned from them; ``lang`` stays as it was labelled.
 
-    Texts that are null, empty or without letters go, as do those not above MIN_SCORE.
+    Texts that are null, empty or without letters go, as do those not above MIN_SCORE, and those below the threshold
+    of their length class. A class without one takes that of the next shorter class that has; short texts score lower.
     """
     model = language_id.learn(docs.where(~language_id.held_out("doc_id")))
-    pred, score = fresh(docs, "lang_pred", "score")
-    kept = language_id.identify(docs, model).where((q(pred) != language_id.UNKNOWN) & (q(score) > MIN_SCORE))
+    pred, score, size = fresh(docs, "lang_pred", "score", "size")
+    scored = written(language_id.identify(docs, model).withColumn(size, _length_class(q("text"))))
+    least = F.lit(MIN_SCORE)
+    for c, x in sorted(thresholds(scored, "lang", size, score).items()):
+        least = F.when(q(size) >= c, F.lit(x)).otherwise(least)
+    kept = scored.where((q(pred) != language_id.UNKNOWN) & (q(score) > MIN_SCORE) & (q(score) >= least))
     return kept.select(*[q(c) for c in docs.columns])
 
 

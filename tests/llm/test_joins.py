@@ -203,6 +203,16 @@ def test_nearest(spark):
     assert nearest.nearest(df.where("vec_id in (0, 1)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_pipeline_rejects_an_unlearned_language(spark):
+    rng = np.random.default_rng(4)
+    other = "että olisi hän kuin myös mutta joka tämä kaikki niin sitten vuonna jälkeen".split()
+    rows = [(i, " ".join(rng.choice([EN, DE][i % 2], 60 if i < 100 else 3)), ["en", "de"][i % 2]) for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(words, n)), None) for i, (words, n) in enumerate([(other, 60), (EN, 60), (EN, 200), (other, 200)])]
+    df = clashing(spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert kept == {*range(200), 1001, 1002}
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "pii", "packing"]
     more = clashing(docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", "s", 1) for i, t in enumerate(near_copies(5))], SCHEMA)))
