@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +48,12 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getConf().contains(_LIMIT):
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
     return df
+
+
+def give_back() -> None:
+    """At a task's end: what its worker has freed goes back to the system, so that no stage keeps what the one before needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)

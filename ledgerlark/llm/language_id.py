@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .columns import fresh, in_small_batches, q
+from .columns import fresh, give_back, in_small_batches, q
 
 DIM = 1024
 SEED = 20240229
 #: Characters and documents that are counted in one matrix; a longer document makes a matrix of its own.
-BLOCK_CHARS, BLOCK_DOCS = 1_000_000, 256
+BLOCK_CHARS, BLOCK_DOCS = 250_000, 256
 #: Trigram vectors in memory at once.
-BLOCK_GRAMS = 4096
+BLOCK_GRAMS = 2048
 #: Texts whose vectors are in memory at once.
 AT_ONCE = 1024
 #: Languages that a model may know; a prototype is DIM floats, so this bounds what the driver and tasks hold to 32 MB.
@@ -50,7 +50,7 @@ def _letters() -> np.ndarray:
     return table
 
 
-@lru_cache(100_000)
+@lru_cache(8192)  # of a KB each
 def _letter_vector(point: int) -> np.ndarray:
     return np.random.default_rng([SEED, point]).integers(0, 2, DIM, np.int8) * 2 - 1
 
@@ -104,12 +104,17 @@ def bundled(texts: list[str]) -> np.ndarray:
 
 
 def held_out(id_col: str) -> Column:
-    """Whether a document is kept from learning: crc32 of its id as text leaves no remainder by 5. A null id isn't."""
+    """Whether a document is kept from learning: crc32 of its id as text leaves no remainder by 5. A null id isn't held out."""
     return F.coalesce(F.crc32(q(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Prototype of each language of ``df``: the normalised sum of its documents' vectors. Null languages are left out."""
+    """Prototype of each language of ``df``: the normalised sum of its documents' vectors.
+
+    Defined cases: rows of a null text or language are left out, as are languages without a letter in any text; rows
+    that repeat count as often as they occur; texts of any length are read whole; an empty table gives an empty
+    model; more than MAX_LANGUAGES different labels are an error (a prototype of each comes to the driver).
+    """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -118,6 +123,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                 for a in range(0, len(texts), AT_ONCE):
                     vectors = bundled(texts.iloc[a : a + AT_ONCE].tolist()).sum(0, np.float64)
                     total[lang] = total[lang] + vectors if lang in total else vectors
+        give_back()
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
@@ -159,6 +165,7 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text"
             found = [judged(texts.iloc[a : a + AT_ONCE], prototypes) for a in range(0, len(texts), AT_ONCE)]
             best, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
             yield pd.DataFrame({"lang_pred": names[best], "score": score.astype(float)})
+        give_back()
 
     pred, score, told = fresh(df, "lang_pred", "score", "told")
     out = in_small_batches(df).withColumn(told, told_of(q(text_col)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..sources.tables import read_table
-from .columns import in_small_batches, q
+from .columns import give_back, in_small_batches, q
 from .vocabulary import RecentCache, blocks, read_vocabulary, tokenizer, vocabulary_file
 
 WINDOW = 4096
@@ -32,7 +32,7 @@ END_ID = 2
 #: Remainders that are dealt together: this many, or up to twice as many at a task's end.
 GROUP = 1024
 #: Characters that are encoded together, and distinct words that a worker remembers (twice that at most, some 200 bytes each).
-BLOCK_CHARS, CACHED = 1_000_000, 300_000
+BLOCK_CHARS, CACHED = 1_000_000, 100_000
 #: Texts of plain characters are cut into the pre-tokenizer's words here, so that each distinct word is encoded once.
 _OTHER = re.compile(r"[^\n\r\t -&(-~À-ÿ]")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
@@ -131,7 +131,10 @@ def differencing(sizes: list[int], windows: int) -> tuple[list[int], int]:
 
 
 def pack(sizes: list[int], capacity: int = WINDOW) -> list[int]:
-    """The window of each item, none over ``capacity``; sizes are at most that."""
+    """The window of each item, none over ``capacity``; sizes are at most that.
+
+    Defined cases: no item gives no window; of equal sizes any may go first; items of size 0 take a place as well.
+    """
     windows = max(1, -(-sum(sizes) // capacity))
     while True:
         window, fullest = differencing(sizes, windows)
@@ -201,6 +204,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if waiting:
             yield frame(dealt(waiting))
         words.cache.settle()
+        give_back()
 
     return in_small_batches(df).select(q(id_col), q(text_col)).mapInPandas(pieces, schema)
 

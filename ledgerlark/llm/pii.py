@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .columns import fresh, in_small_batches, q
+from .columns import fresh, give_back, in_small_batches, q
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -258,6 +258,7 @@ def find_pii(df: DataFrame, text_col: str = "text", result_col: str = "pii") ->
                 digest = hashlib.sha256(told(base).encode()).hexdigest()
                 rows.append((*(len(base[k]) for k in KINDS), digest, told(spans), redacted(text, spans) if text else text))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+        give_back()
 
     (name,) = fresh(df, result_col)
     return in_small_batches(df).withColumn(name, spans_of(q(text_col)))
