@@ -1,9 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Three passes, each over fewer rows than the one before. Lengths come from the string header, prefix hashes are
-made of rows whose length occurs twice, and whole texts are read for rows whose (length, prefix) occurs twice.
-What is shuffled is keys, never texts, and every grouping is a sum or maximum that Spark combines before it
-shuffles, so a text that a third of all rows repeat costs one key per task.
+Three passes, each over fewer rows than the one before. Lengths come from the string header, prefix hashes are made
+of rows whose length occurs twice, and whole texts are read for rows whose (length, prefix) occurs twice. What a pass
+finds common is a bitmap of fixed size (see marks), so the next one sieves rows as they are read. What is shuffled is
+keys, never texts, and every grouping is a sum or maximum that Spark combines before it shuffles, so a text that a
+third of all rows repeat costs one key per task. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -14,84 +15,92 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from ..sources.tables import read_table
 from .columns import ascii_lower, fresh, q
+from .marks import marked, told
 
 #: Characters of the prefix that the second level hashes.
 PREFIX_CHARS = 256
-#: Rows that a key table may have for a broadcast: 24 to 80 bytes a row, so 16 MB at most. Larger tables are shuffled.
-BROADCAST_ROWS = 200_000
 
 
-def _joined(rows: DataFrame, keys: DataFrame, n_keys: int, on: list[str], how: str) -> DataFrame:
-    """Broadcasts the keys where their count, known by now, allows it; else Spark shuffles both sides and splits skew."""
-    return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, how)
+def _text(text_col: str) -> Column:
+    return F.coalesce(q(text_col), F.lit(""))
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Groups of two rows or more with equal normalised text: ``size, prefix, digest, keep_id, group_size``.
+def _head(text_col: str, prefix_chars: int) -> Column:
+    return F.xxhash64(ascii_lower(F.left(_text(text_col), F.lit(prefix_chars))))
 
-    Each level looks at rows that the level before left undecided.
-    """
-    text = F.coalesce(q(text_col), F.lit(""))
-    rows = df.select(q(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("size"))
-    sizes = written(rows.groupBy("size").count().where("count > 1").select("size"))
-    prefix = F.xxhash64(ascii_lower(F.left(F.col("text"), F.lit(prefix_chars)))).alias("prefix")
-    second = _joined(rows.select("size", prefix), sizes, sizes.count(), ["size"], "left_semi")
-    prefixes = written(second.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix"))
-    n = prefixes.count()
-    digest = F.sha2(ascii_lower(F.col("text")), 256).alias("digest")
-    third = rows.select("id", "text", "size", prefix)
-    if n <= BROADCAST_ROWS:  # whole texts are hashed after the join, for rows that it leaves
-        third = _joined(third, prefixes, n, ["size", "prefix"], "left_semi").select("id", "size", "prefix", digest)
-    else:  # a digest is cheaper to move than a text, so it is made before the shuffle
-        third = third.select("id", "size", "prefix", digest).join(prefixes, ["size", "prefix"], "left_semi")
-    groups = third.groupBy("size", "prefix", "digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+
+def _sieves(df: DataFrame, text_col: str, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Bitmaps of the lengths that occur twice, and of the (length, prefix) that do."""
+    rows = df.select(_text(text_col).alias("text"), F.octet_length(_text(text_col)).alias("size"))
+    sizes = marked(rows.groupBy("size").count().where("count > 1"), "size")
+    second = told(rows, sizes, [F.col("size")], "often").where("often").select("size", _head("text", prefix_chars).alias("prefix"))
+    return sizes, marked(second.groupBy("size", "prefix").count().where("count > 1"), "size", "prefix")
+
+
+def _sieved(df: DataFrame, sieves: tuple[DataFrame, DataFrame], text_col: str, prefix_chars: int) -> tuple[DataFrame, str]:
+    """``df`` with a boolean: whether the row's length, and then its prefix too, is marked."""
+    often, seen = fresh(df, "often", "seen")
+    size = F.octet_length(_text(text_col))
+    second = told(df, sieves[0], [size], often)
+    # Of the rows that the lengths leave alone no prefix is hashed; it is null, and their second mark doesn't count.
+    third = told(second, sieves[1], [size, F.when(q(often), _head(text_col, prefix_chars))], seen)
+    return third.select(*[q(c) for c in df.columns], (q(seen) & q(often)).alias(seen)), seen
+
+
+def survivors(df: DataFrame, sieves: tuple[DataFrame, DataFrame], id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """``id, digest`` of the rows that length and prefix leave undecided, a few by chance among them; whole texts of these alone are read."""
+    third, seen = _sieved(df.select(q(id_col).alias("id"), q(text_col).alias("text")), sieves, "text", prefix_chars)
+    return third.where(q(seen)).select("id", F.sha2(ascii_lower(_text("text")), 256).alias("digest"))
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """Groups of two rows or more with equal normalised text: ``digest, keep_id, group_size``."""
+    groups = survivors(df, _sieves(df, text_col, prefix_chars), id_col, text_col, prefix_chars).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     return written(groups.where("group_size > 1"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Every row of ``df`` with ``keep_id, group_size, kept, text_sha256`` added (renamed if ``df`` has such names).
+    """``id_col, keep_id, group_size, kept, text_sha256``: one narrow row for every row of ``df``.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id stays.
 
     Defined cases: a null text counts as empty; empty texts form one group; rows that repeat both id and text count
     in ``group_size`` and are kept together, as nothing tells them apart; a null id is kept only where all ids of
-    its group are null; an empty table gives an empty result.
+    its group are null; other columns are never read; an empty table gives an empty result.
     """
-    size, prefix, digest, keep, n_rows, kept = fresh(df, "size", "prefix", "text_sha256", "keep_id", "group_size", "kept")
     groups = copies(df, id_col, text_col, prefix_chars)
-    groups = groups.select(F.col("size").alias(size), F.col("prefix").alias(prefix), F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(n_rows))
-    text = F.coalesce(q(text_col), F.lit(""))
-    keyed = df.select(
-        "*",
-        F.octet_length(text).alias(size),
-        F.xxhash64(ascii_lower(F.left(text, F.lit(prefix_chars)))).alias(prefix),
-        F.sha2(ascii_lower(text), 256).alias(digest),
-    )
-    out = _joined(keyed, groups, groups.count(), [size, prefix, digest], "left")
-    single: Column = q(n_rows).isNull()
-    return out.select(
-        *[q(c) for c in df.columns],
-        F.when(single, q(id_col)).otherwise(q(keep)).alias(keep),
-        F.coalesce(q(n_rows), F.lit(1)).alias(n_rows),
-        (single | q(id_col).eqNullSafe(q(keep))).alias(kept),
-        q(digest),
+    rows = df.select(q(id_col).alias("id"), F.sha2(ascii_lower(_text(text_col)), 256).alias("digest"))
+    single = F.col("group_size").isNull()
+    return rows.join(groups, "digest", "left").select(
+        F.col("id").alias(id_col),
+        F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (single | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.col("digest").alias("text_sha256"),
     )
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``df`` for each text, with the columns of ``df``: of rows that repeat the kept id too, any one.
 
-    Only rows of groups are compared for that, so no more than one row per group and task is shuffled.
+    Rows that length and prefix tell apart stay where they are. Of the others, only those that are kept (and the few
+    that share a bit with one) are shuffled, never the copies that go.
+
+    Defined cases: those of :func:`exact_dedup`; clashing names don't matter.
     """
-    out = exact_dedup(df, id_col, text_col)
-    n_rows, kept = (q(c) for c in out.columns[-3:-1])
-    alone, grouped = out.where(n_rows == 1), out.where((n_rows > 1) & kept)
-    return alone.union(grouped.dropDuplicates([id_col, out.columns[-1]])).select(*[q(c) for c in df.columns])
+    one, digest, mark = fresh(df, "one", "digest", "mark")
+    sieves = _sieves(df, text_col, PREFIX_CHARS)
+    third, seen = _sieved(df, sieves, text_col, PREFIX_CHARS)
+    stay = written(survivors(df, sieves, id_col, text_col, PREFIX_CHARS).groupBy("digest").agg(F.max("id").alias("one")).select(F.col("one").alias(one), F.col("digest").alias(digest)))
+    rest = third.where(q(seen)).withColumn(digest, F.sha2(ascii_lower(_text(text_col)), 256))
+    rest = told(rest, marked(stay, digest, one), [q(digest), q(id_col)], mark).where(q(mark))
+    found = rest.join(stay, [digest]).where(q(id_col).eqNullSafe(q(one))).dropDuplicates([digest])
+    return third.where(~q(seen)).select(*[q(c) for c in df.columns]).unionAll(found.select(*[q(c) for c in df.columns]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs)
 
 
 ORACLE_SQL = """

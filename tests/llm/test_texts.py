@@ -12,8 +12,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlark.llm import bpe, exact_dedup, packing, pii, url_filter
+from ledgerlark.llm import bpe, exact_dedup, marks, packing, pii, url_filter
 from ledgerlark.llm.vocabulary import read_vocabulary, tokenizer, vocabulary_file
+from ledgerlark.sources.shared import written
 from tests.llm.samples import SCHEMA, clashing, documents
 
 
@@ -29,19 +30,42 @@ def docs(spark):
 def test_exact_dedup(spark, docs):
     groups = defaultdict(list)
     for r in docs.collect():
-        groups[ascii_low(r.text)].append(r.doc_id)
-    got = exact_dedup.exact_dedup(docs).collect()
-    assert len(got) == docs.count()
+        groups[hashlib.sha256(ascii_low(r.text).encode()).hexdigest()].append(r.doc_id)
+    got = exact_dedup.exact_dedup(clashing(docs)).collect()
+    assert sorted((r.text_sha256, r.doc_id or -1) for r in got) == sorted((k, i or -1) for k, v in groups.items() for i in v)
     for r in got:
-        own = groups[ascii_low(r.text)]
+        own = groups[r.text_sha256]
         keep = max((i for i in own if i is not None), default=None)
         assert (r.keep_id, r.group_size, r.kept) == (keep, len(own), r.doc_id == keep)
-        assert r.text_sha256 == hashlib.sha256(ascii_low(r.text).encode()).hexdigest()
 
 
-def test_exact_dedup_by_shuffle(spark, docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+def test_exact_dedup_with_a_full_bitmap(spark, docs, monkeypatch):
+    """Bits that keys share by chance change no result."""
+    monkeypatch.setattr(marks, "BITS", 4)
+    monkeypatch.setattr(marks, "PAGE", 3)
     test_exact_dedup(spark, docs)
+    test_exact_dedup_names_and_empty(spark, docs)
+
+
+def exchanged_texts(df):
+    """Exchanges of the plan that move a column named text."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    return [cols for cols in re.findall(r"\) Exchange\s*\nInput[^:]*: \[(.*)\]", plan) if re.search(r"\btext#", cols)]
+
+
+def test_rows_that_stay_do_not_move(spark, docs):
+    docs = written(docs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    gone = docs.select("doc_id").where("doc_id in (3, 7)").distinct()
+    left = marks.without(docs, gone, "doc_id")
+    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(r.doc_id or -1 for r in docs.collect() if r.doc_id not in (3, 7))
+    assert sorted(r.doc_id for r in marks.within(docs, gone, "doc_id").collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id in (3, 7))
+    # The one exchange with texts has only rows that share a bit by chance; here there is none.
+    assert len(exchanged_texts(left)) == 1
+    assert exchanged_texts(exact_dedup.exact_dedup(docs)) == []
+    assert marks.without(docs, gone.limit(0), "doc_id").count() == docs.count()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_exact_dedup_names_and_empty(spark, docs):
