@@ -6,8 +6,10 @@ gives all bounds; pairs whose upper bound reaches the k-th largest lower bound s
 original floats in double precision, and heaps merge each query's tiles. Nothing within a tile's bounds is lost, so
 the result is exact.
 
-Query blocks meet candidate blocks through a join on the block number: the smaller query side is sent once for each
-candidate block, and a tile holds two blocks, whatever the table's size.
+Blocks are dealt to the cells of a grid, query blocks to its rows and candidate blocks to its columns, and meet by a
+join on the cell; so a query block is sent to one cell in 64 candidate blocks, a candidate block to one in 16 query
+blocks. A task holds one tile and the heaps of one cell, whose sides don't grow with the table; what the cells of a
+query found is ranked by Spark, which keeps the k best before it shuffles as well.
 """
 
 from __future__ import annotations
@@ -17,18 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import in_small_batches
+from .columns import give_back, in_small_batches, q
 
 #: Rows of a block of queries and of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Query rows whose tiles are merged in one group.
-MERGE_ROWS = 512
+#: A block of long vectors has fewer rows.
+BLOCK_BYTES = 4 << 20
+#: Blocks of queries and of candidates that meet in one cell of the grid, on average.
+CELL = 16, 64
 _BLOCK = "block long, dim int, ids binary, vectors binary"
 
 
@@ -52,9 +56,10 @@ def blocks_of(rows: DataFrame, size: int, dtype: type) -> DataFrame:
         for batch in batches:
             for dim, group in batch.groupby(batch["vector"].map(len)):
                 ids, vectors = group["id"].to_numpy(np.int64), np.stack(group["vector"].to_list()).astype(dtype)
-                for at in range(0, len(ids), size):
-                    waiting.setdefault(dim, []).append((ids[at : at + size], vectors[at : at + size]))
-                    if sum(len(p[0]) for p in waiting[dim]) >= size:
+                most = max(1, min(size, BLOCK_BYTES // (dim * vectors.itemsize)))
+                for at in range(0, len(ids), most):
+                    waiting.setdefault(dim, []).append((ids[at : at + most], vectors[at : at + most]))
+                    if sum(len(p[0]) for p in waiting[dim]) >= most:
                         yield block(dim)
         for dim in list(waiting):
             yield block(dim)
@@ -116,6 +121,17 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     return rows[best], ids[places[best]], scores[best]
 
 
+def grid(queries: int, candidates: int, cores: int) -> tuple[int, int]:
+    """Rows and columns of cells, from the numbers of blocks: cells of bounded sides, and enough of them for all cores."""
+    high = max(1, -(-queries // CELL[0]))
+    return high, max(1, -(-candidates // CELL[1]), min(candidates, -(-2 * cores // high)))
+
+
+def emptied(heaps: dict[int, list[tuple[float, int]]]) -> pd.DataFrame:
+    rows = [(query, -vec, score) for query, heap in heaps.items() for score, vec in heap]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row where ``queries`` holds, the k other rows of largest inner product.
 
@@ -125,39 +141,46 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     take no part; vectors of different lengths are never compared; rows of the query's own id are not its candidates;
     rows that repeat id and vector count once; without a query the result is empty.
     """
-    rows = in_small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = in_small_batches(df).select(q(id_col).cast("long").alias("id"), q(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("id", "vector", "asks")
     dtype = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
     asked = written(blocks_of(rows.where("asks").select("id", "vector"), QUERY_BLOCK, dtype).withColumn("block", F.monotonically_increasing_id()))
     stored = written(blocks_of(rows.select("id", "vector"), CANDIDATE_BLOCK, dtype).withColumn("block", F.monotonically_increasing_id()))
-    # Each query block is sent to each candidate block of its vectors' length, and no row of either to more than that.
-    targets = stored.groupBy("dim").agg(F.collect_list("block").alias("targets"))
-    sent = asked.join(targets, "dim").select("dim", F.explode("targets").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    tiles = sent.join(stored, ["dim", "block"])
+    # Cells of a grid: each query block goes to the cells of its row, each candidate block to those of its column.
+    high, wide = grid(asked.count(), stored.count(), df.sparkSession.sparkContext.defaultParallelism)
+    at = F.shiftright("block", 33) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1)) * 7919
+    left = asked.select("dim", F.pmod(at, F.lit(high)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("col"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    right = stored.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(high - 1).cast("long"))).alias("row"), F.pmod(at, F.lit(wide)).cast("int").alias("col"), "ids", "vectors")
+    # Spark buffers the side that is named second: the smaller one, 16 query blocks.
+    tiles = right.join(left.hint("merge"), ["dim", "row", "col"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, heaps = None, {}
         for batch in batches:
             for r in batch.itertuples():
+                if (r.dim, r.row, r.col) != cell:  # a merge join gives all tiles of a cell one after the other
+                    if heaps:
+                        yield emptied(heaps)
+                    cell, heaps = (r.dim, r.row, r.col), {}
                 query_ids, ids = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.ids, np.int64)
                 queries, vectors = (np.frombuffer(x, dtype).reshape(-1, r.dim).astype(np.float64) for x in (r.queries, r.vectors))
                 keep = first_copies(ids, vectors, k + 1)
                 at, found, scores = tile(query_ids, queries, ids[keep], vectors[keep], k)
-                yield pd.DataFrame({"query_id": query_ids[at], "vec_id": found, "score": scores})
+                for query, vec, score in zip(query_ids[at].tolist(), found.tolist(), scores.tolist(), strict=True):
+                    heap, one = heaps.setdefault(query, []), (score, -vec)
+                    if len(heap) < k:
+                        if one not in heap:
+                            heapq.heappush(heap, one)
+                    elif one > heap[0] and one not in heap:
+                        heapq.heapreplace(heap, one)
+        if heaps:
+            yield emptied(heaps)
+        give_back()
 
     found = tiles.mapInPandas(best, "query_id long, vec_id long, score double")
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        heaps: dict[int, list[tuple[float, int]]] = {}
-        for query, score, vec in zip(group["query_id"], group["score"], group["vec_id"], strict=True):
-            heap, found = heaps.setdefault(query, []), (score, -vec)
-            if len(heap) == k and found <= heap[0] or found in heap:
-                continue
-            (heapq.heappush if len(heap) < k else heapq.heapreplace)(heap, found)
-        out = [(query, i + 1, -vec, score) for query, heap in heaps.items() for i, (score, vec) in enumerate(sorted(heap, reverse=True))]
-        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
-
-    groups = F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count()) * (QUERY_BLOCK // MERGE_ROWS)))
-    return found.groupBy(groups.alias("part")).applyInPandas(merged, "query_id long, rank int, vec_id long, score double")
+    # Spark keeps the k best of each query before it shuffles, and again after. Copies of a row share their rank.
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
