@@ -3,7 +3,7 @@
 Each round hangs nodes onto the smallest neighbour they know; a logarithmic number of rounds leaves one star per
 component. Rounds end in a written table, so lineage stays short and a lost executor costs at most a round. Only two
 sums per round come to the driver. A node with very many edges is a maximum that Spark combines before the shuffle,
-and a join key that it splits.
+and is dealt to SALTS parts where its edges meet that maximum.
 """
 
 from __future__ import annotations
@@ -13,22 +13,36 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
+#: Parts that a node's edges are dealt to where they meet its least neighbour, so that a hub isn't one task's work.
+SALTS = 16
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with ``least`` of each ``u``."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    each = least.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.select("*", salt).join(each, ["u", "salt"])
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u").toDF("u", "v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("least"))
-    moved = down.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    moved = _met(down, least).where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.union(least.select("u", F.col("least").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node) of each node of ``edges`` (``u, v``; order and repeats don't matter)."""
+    """``node, component`` (the smallest node) of each node of ``edges`` (``u, v``; order and repeats don't matter).
+
+    Defined cases: an edge of a node with itself, or with a null, counts for nothing; nodes without an edge aren't told;
+    an empty table gives an empty result.
+    """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:

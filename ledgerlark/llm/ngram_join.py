@@ -1,20 +1,23 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts become sets of word 5-grams; equal sets meet first, by a digest, and one of them speaks for all. Each run of the
-join splits the sets recursively: on every level a set moves into the bucket of the one of its tokens that a random
-order of all tokens puts first, so two sets stay together with a chance equal to their similarity. A bucket of one
-is done, a small one is searched by brute force on MinHash sketches, a large one is split again, to a fixed depth.
-As a path depends on its set alone, all levels of all runs are laid out at once and counted in a single sum.
+join splits the sets recursively: a bucket samples places of a MinHash sketch (one, and in a quarter of all buckets a
+second), and each of its sets moves on to the bucket of the token it has there. So a set follows several paths, and
+two sets share a step with a chance equal to their similarity. A bucket of one is done, a small one is searched by
+brute force on sketches, a large one is split again. All runs are split together, level by level; only sets of large
+buckets go on to the next level.
 
 Runs repeat until a pair at the threshold meets with the target chance, even if all its buckets are split to the end.
-What brute force finds similar, and what still shares a full path, hangs together in components. Each is then searched
-exactly: every pair of its sets, in blocks, with the sets themselves. So a pair counts only if it is truly similar.
+What brute force finds similar, and what is still large at the last level, hangs together in components. Each is then
+searched exactly: every pair of its sets, in blocks, with the sets themselves. So a pair counts only if it is truly
+similar.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,27 +28,51 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import in_small_batches, q
+from .columns import give_back, in_small_batches, q
 from .components import components
+from .marks import marked, told
 
 N = 5
 #: Similarity of 4/5 at least; kept as a ratio so that the comparison is one of whole numbers.
 SIMILAR = (4, 5)
 #: Levels of a path, chance that a pair at the threshold meets, sets of a bucket that is small enough.
-DEPTH, RECALL, SMALL = 3, 0.999, 64
+DEPTH, RECALL, SMALL = 6, 0.999, 64
+#: One bucket in so many samples a second place: 1.25 on average, as many as a pair at the threshold needs to meet in one.
+SECOND = 4
 #: Sketch size, and the share of equal places from which a pair is looked at: four standard deviations below SIMILAR.
 SKETCH, PROMISING = 64, 0.6
 #: Sets of a block of an exact search; two blocks meet in one group.
 BLOCK = 128
-#: Ids that may be broadcast: eight to some tens of bytes each, so a few MB. More are joined by a shuffle.
-BROADCAST_IDS = 200_000
 _WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.random.default_rng(5).integers(1, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def runs_needed(depth: int = DEPTH, recall: float = RECALL, similar: tuple[int, int] = SIMILAR) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (similar[0] / similar[1]) ** depth))
+    """Runs after which a pair at the threshold has met with the chance ``recall``, split to the last level each time."""
+    met = 1.0
+    for _ in range(depth):
+        one = 1 - similar[0] / similar[1] * met
+        met = 1 - ((1 - 1 / SECOND) * one + 1 / SECOND * one * one)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def children(paths: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and next paths: of each path with its set's sketch, by the token at the places that the path samples."""
+    chosen = _mixed(paths)
+    second = np.flatnonzero((chosen >> np.uint64(40)) % np.uint64(SECOND) == 0)
+    rows = np.r_[np.arange(len(paths)), second]
+    first = chosen % np.uint64(SKETCH)
+    other = (first[second] + np.uint64(1) + (chosen[second] >> np.uint64(20)) % np.uint64(SKETCH - 1)) % np.uint64(SKETCH)
+    place = np.r_[first, other].astype(np.int64)
+    token = marks[rows, place].astype(np.uint64)
+    return rows, _mixed(chosen[rows] + (token << np.uint64(8)) + place.astype(np.uint64))
 
 
 def ngram_sets(texts: list[str], n: int = N) -> Iterator[np.ndarray]:
@@ -83,9 +110,10 @@ def _id_type(df: DataFrame, id_col: str) -> T.DataType:
     return df.schema[id_col].dataType
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int, depth: int) -> DataFrame:
-    """``id``; ``high, low``: digest of the set; ``sketch``; ``paths``: a hash for each run and level (none of an empty set)."""
+def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> DataFrame:
+    """``id``; ``high, low``: digest of the set; ``sketch``; ``paths``: the buckets of the first level (none of an empty set)."""
     schema = T.StructType([T.StructField("id", _id_type(df, id_col)), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType()))])
+    roots = np.arange(1, runs + 1, dtype=np.uint64)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,19 +121,48 @@ def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int, depth
             for grams in ngram_sets([t or "" for t in batch.iloc[:, 1]], n):
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)
                 own = sketch(grams)
-                tokens = own[: runs * depth].reshape(runs, depth).astype(np.uint64)
-                path, paths = np.arange(1, runs + 1, dtype=np.uint64) * _MIX, []
-                for level in range(depth):
-                    path = ((path ^ (path >> np.uint64(31))) + tokens[:, level]) * _MIX
-                    paths.append(path)
-                rows.append((high, low, own.tobytes(), np.stack(paths, 1).ravel().view(np.int64) if len(grams) else []))
+                paths = children(roots, np.broadcast_to(own, (runs, SKETCH)))[1].view(np.int64) if len(grams) else []
+                rows.append((high, low, own.tobytes(), paths))
             out = pd.DataFrame(rows, columns=["high", "low", "sketch", "paths"])
             out.insert(0, "id", batch.iloc[:, 0].to_numpy())
             yield out
+        give_back()
 
     return df.select(q(id_col), q(text_col)).mapInPandas(of, schema)
 
 
+def split(buckets: DataFrame) -> DataFrame:
+    """``path, rep`` of the next level, of rows ``path, rep, sketch``."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                marks = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), SKETCH)
+                rows, paths = children(batch["path"].to_numpy().view(np.uint64), marks)
+                yield pd.DataFrame({"path": paths.view(np.int64), "rep": batch["rep"].to_numpy()[rows]})
+
+    schema = T.StructType([T.StructField("path", T.LongType()), buckets.schema["rep"]])
+    return buckets.select("path", "rep", "sketch").mapInPandas(of, schema)
+
+
+def candidate_links(able: DataFrame, depth: int) -> DataFrame:
+    """``u, v`` of sets (``rep, sketch, paths``) that hang together: found similar in small buckets, or in one large bucket of the last level."""
+    nodes = able.select(F.explode("paths").alias("path"), "rep")
+    small: list[DataFrame] = []
+    for level in range(1, depth + 1):
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
+        shared = written(nodes.join(sizes, "path"))
+        small.append(shared.where(F.col("size") <= SMALL).select("path", "rep"))
+        large = shared.where(F.col("size") > SMALL)
+        if level == depth or large.isEmpty():
+            break
+        nodes = split(large.select("path", "rep").join(able.select("rep", "sketch"), "rep"))
+    few = reduce(DataFrame.unionAll, small).join(able.select("rep", "sketch"), "rep")
+    links = promising_links(few.select("path", F.col("rep").alias("id"), "sketch"))
+    # What is still large after the last level is one candidate component: its members hang on the smallest of them.
+    return links.unionAll(large.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+
+
 def _roots(n: int, pairs: np.ndarray) -> list[int]:
     """For each of n places the first place that pairs connect it with."""
     root = list(range(n))
@@ -219,6 +276,7 @@ def gram_sets(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 yield pd.DataFrame({"id": part.iloc[:, 0], "grams": [g.tobytes() for g in ngram_sets([t or "" for t in part.iloc[:, 1]], n)]})
+        give_back()
 
     return df.select(q(id_col), q(text_col)).mapInPandas(of, schema)
 
@@ -235,38 +293,25 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     are read whole; other columns are never read; an empty table gives an empty result.
     """
     runs = runs_needed(depth, recall, similar)
-    if runs * depth > SKETCH:
-        raise ValueError("the sketch is too small for so many runs")
-    rows = written(sketches(in_small_batches(df), id_col, text_col, n, runs, depth))
+    rows = written(sketches(in_small_batches(df), id_col, text_col, n, runs))
     sets = rows.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     sets = written(sets)
-    able = sets.where(F.col("rep").isNotNull())
-    steps = able.select("rep", F.posexplode("paths").alias("at", "path"))
-    sizes = steps.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    level, run = F.col("at") % depth + 1, F.floor(F.col("at") / depth)
-    ended = steps.join(sizes, "path").where((F.col("size") <= SMALL) | (level == depth))
-    leaves = written(ended.groupBy("rep", run.alias("run")).agg(F.min(F.struct(level.alias("level"), "path", "size")).alias("leaf")).select("rep", "leaf.path", "leaf.size"))
-    small = leaves.where(F.col("size") <= SMALL).join(able.select("rep", "sketch"), "rep")
-    links = promising_links(small.select("path", F.col("rep").alias("id"), "sketch"))
-    # A large bucket at full depth is one candidate component: its members hang on the smallest of them.
-    large = leaves.where(F.col("size") > SMALL)
-    heads = large.groupBy("path").agg(F.min("rep").alias("v"))
-    links = links.union(large.join(heads, "path").select(F.col("rep").alias("u"), "v"))
+    links = candidate_links(sets.where(F.col("rep").isNotNull()), depth)
     part = written(components(links))
     parts = part.groupBy("component").agg(F.count("*").alias("size"))
     placed = part.join(parts, "component").select(F.col("node").alias("id"), F.col("component").alias("part"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")))
-    n_placed = placed.count()
-    ids = placed.select(F.col("id").alias(id_col))
-    wanted = df.select(q(id_col), q(text_col)).join(F.broadcast(ids) if n_placed <= BROADCAST_IDS else ids, id_col, "left_semi")
+    # Sets are made again where a row's id is marked, then joined: no text moves. A row that repeats counts once.
+    able = told(df.select(q(id_col).alias("id"), q(text_col).alias("text")), marked(placed, "id"), [F.col("id")], "often").where("often")
+    wanted = gram_sets(able, "id", "text", n).join(placed, "id").dropDuplicates(["id"])
     # A large component's sets go to every pair of blocks that their own is in.
-    blocks = gram_sets(wanted, id_col, text_col, n).join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    blocks = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     blocks = blocks.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "grams")
     found = written(exact_links(blocks, similar))
     classes = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    told = counts.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumnRenamed("id", "rep")
-    named = sets.select("high", "low", "rep", "n_copies").join(told, "rep", "left")
+    linked = counts.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumnRenamed("id", "rep")
+    named = sets.select("high", "low", "rep", "n_copies").join(linked, "rep", "left")
     out = rows.select("id", "high", "low").join(named, ["high", "low"])
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
 
