@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import fresh, q
 
 
-def joined_spans(spans: Column) -> Column:
-    """An array of structs ``start, end`` as an ascending one in which none touch."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), start, add)
+def joined_spans(found: DataFrame) -> DataFrame:
+    """``id, spans`` of rows ``id, start, end``: ascending, none touching. One shuffle by id; a document's rows are sorted, not held."""
+    in_order = Window.partitionBy("id").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.select("id", "start", "end", F.when(F.col("start") <= reach, 0).otherwise(1).alias("opens"))
+    rows = rows.withColumn("n", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.groupBy("id", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def told_spans(spans: Column) -> Column:

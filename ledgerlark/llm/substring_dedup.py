@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence on, and up to every sentence, the shortest run of several sentences that is long enough is hashed,
-so a repeated passage is covered to both of its ends. Hashes meet globally in a sum that Spark combines before it shuffles: how often each occurs, and where first. Those that occur again are
+so a repeated passage is covered to both of its ends. Texts are cut once, into a table of runs. Hashes meet globally in
+a sum that Spark combines before it shuffles: how often each occurs, and where first. Those that occur again are
 joined with the runs, and sentences that a run other than the first covers are removed.
 
 A passage that a third of all documents share is one key in the sum; in the join Spark splits it over tasks.
@@ -20,63 +21,68 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import in_small_batches, q
+from .columns import give_back, in_small_batches, q
+from .marks import marked, told
 from .spans import joined_spans, told_spans
 
-#: A run has this many sentences and words at least; one sentence makes a run by itself from LONG_SENTENCE words on.
-SENTENCES, WORDS, LONG_SENTENCE = 2, 25, 50
+#: A run has this many sentences and words at least. A sentence of more than MOST words is cut at clause marks, or every MOST words.
+SENTENCES, WORDS, MOST = 2, 25, 25
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
+_CLAUSE = re.compile(r"(?<=[,;:])\s+")
+_WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences: they end at white space after ``.``, ``!`` or ``?``, and at line ends."""
-    found, start = [], 0
-    for m in _END.finditer(text):
+def _cut(text: str, start: int, end: int, mark: re.Pattern) -> list[tuple[int, int]]:
+    found = []
+    for m in mark.finditer(text, start, end):
         if m.start() > start:
             found.append((start, m.start()))
         start = m.end()
-    if start < len(text):
-        found.append((start, len(text)))
-    return found
+    return [*found, (start, end)] if start < end else found
 
 
-def _enough(words: int, n: int) -> bool:
-    return words >= LONG_SENTENCE or words >= WORDS and n >= SENTENCES
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Spans of sentences: they end at white space after ``.``, ``!`` or ``?``, and at line ends; long ones are cut into clauses."""
+    found = []
+    for a, b in _cut(text, 0, len(text), _END):
+        if b - a < 2 * MOST or len(text[a:b].split()) <= MOST:
+            found.append((a, b))
+            continue
+        for c, d in _cut(text, a, b, _CLAUSE):
+            words = list(_WORD.finditer(text, c, d))
+            found += [(words[i].start(), words[min(i + MOST, len(words)) - 1].end()) for i in range(0, len(words), MOST)]
+    return found
 
 
-def shortest_runs(sizes: list[int]) -> set[tuple[int, int]]:
+def shortest_runs(sizes: list[int], min_sentences: int = SENTENCES, min_words: int = WORDS) -> set[tuple[int, int]]:
     """First and last sentence of the shortest run that is long enough, from each sentence on and up to each sentence."""
-    found, start, total = set(), 0, 0
-    for end, size in enumerate(sizes):  # the shortest run up to each sentence
-        total += size
-        while start < end and _enough(total - sizes[start], end - start):
-            total -= sizes[start]
-            start += 1
-        if _enough(total, end - start + 1):
-            found.add((start, end))
-    end, total = len(sizes) - 1, 0
-    for start in range(len(sizes) - 1, -1, -1):  # and from each sentence on
-        total += sizes[start]
-        while end > start and _enough(total - sizes[end], end - start):
-            total -= sizes[end]
-            end -= 1
-        if _enough(total, end - start + 1):
-            found.add((start, end))
-    return found
+
+    def ends(sizes: list[int]) -> Iterator[tuple[int, int]]:
+        start = total = 0
+        for end, size in enumerate(sizes):
+            total += size
+            while end - start >= min_sentences and total - sizes[start] >= min_words:
+                total -= sizes[start]
+                start += 1
+            if end - start + 1 >= min_sentences and total >= min_words:
+                yield start, end
+
+    last = len(sizes) - 1
+    return {*ends(sizes), *((last - j, last - i) for i, j in ends(sizes[::-1]))}
 
 
-def runs(text: str) -> list[tuple[int, int, bytes]]:
+def runs(text: str, min_sentences: int = SENTENCES, min_words: int = WORDS) -> list[tuple[int, int, bytes]]:
     """Start, end and 128-bit hash of each of those runs. Case and the kind of white space don't count."""
     spans = sentences(text)
     parts = [" ".join(text[a:b].lower().split()) for a, b in spans]
-    chosen = shortest_runs([p.count(" ") + 1 for p in parts])
-    return [(spans[i][0], spans[j][1], xxhash.xxh3_128_digest("\n".join(parts[i : j + 1]).encode())) for i, j in sorted(chosen)]
+    chosen = shortest_runs([p.count(" ") + 1 if p else 0 for p in parts], min_sentences, min_words)
+    return [(spans[i][0], spans[j][1], xxhash.xxh3_128_digest("\n".join(parts[i : j + 1]).encode("utf-8", "surrogatepass"))) for i, j in sorted(chosen)]
 
 
-def sentence_runs(df: DataFrame, id_col: str, text_col: str, with_place: bool) -> DataFrame:
-    """Rows ``high, low`` (the hash), ``id, start`` and, if wanted, ``end`` of every run."""
+def sentence_runs(df: DataFrame, id_col: str, text_col: str, min_sentences: int = SENTENCES, min_words: int = WORDS) -> DataFrame:
+    """Rows ``high, low`` (the hash), ``id, start, end`` of every run."""
     fields = [("high", T.LongType()), ("low", T.LongType()), ("id", df.schema[id_col].dataType), ("start", T.IntegerType()), ("end", T.IntegerType())]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields[: 4 + with_place]])
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +90,7 @@ def sentence_runs(df: DataFrame, id_col: str, text_col: str, with_place: bool) -
                 part = batch.slice(at, 500)
                 hashes, owner, starts, ends = [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    found = runs(text or "")
+                    found = runs(text or "", min_sentences, min_words)
                     owner += [i] * len(found)
                     for a, b, digest in found:
                         starts.append(a)
@@ -93,12 +99,13 @@ def sentence_runs(df: DataFrame, id_col: str, text_col: str, with_place: bool) -
                 pairs = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, pa.py_buffer(b"".join(hashes))]) if hashes else pa.array([], pa.int64())
                 columns = [pairs.take(pa.array(range(k, 2 * len(hashes), 2), pa.int64())) for k in (0, 1)]
                 columns += [part.column(0).take(pa.array(owner, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns[: len(schema)], names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return df.select(q(id_col), q(text_col)).mapInArrow(cut, schema)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = SENTENCES, min_words: int = WORDS) -> DataFrame:
     """``id_col, spans`` of the documents that lose text: spans of characters, ascending, none touching.
 
     The first of equal runs is that of the smallest id, then of the smallest start; it stays.
@@ -107,13 +114,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat id and text are one document; a null id comes before all others; texts of any length are read whole;
     other columns are never read; an empty table gives an empty result.
     """
+    cut = written(sentence_runs(in_small_batches(df), id_col, text_col, min_sentences, min_words))
     first = F.min(F.struct(F.col("id").alias("first_id"), F.col("start").alias("first_start"))).alias("first")
-    counted = sentence_runs(in_small_batches(df), id_col, text_col, False).groupBy("high", "low").agg(F.count("*").alias("n"), first)
+    counted = cut.groupBy("high", "low").agg(F.count("*").alias("n"), first)
     again = written(counted.where("n > 1").select("high", "low", "first"))
-    found = sentence_runs(df, id_col, text_col, True).join(again, ["high", "low"])
+    found = told(cut, marked(again, "high"), [F.col("high")], "often").where("often").drop("often").join(again, ["high", "low"])
     same = F.col("id").eqNullSafe(F.col("first.first_id")) & (F.col("start") == F.col("first.first_start"))
-    spans = found.where(~same).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return spans.select(F.col("id").alias(id_col), joined_spans(F.col("spans")).alias("spans"))
+    return joined_spans(found.where(~same)).withColumnRenamed("id", id_col)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ each is compared with its nearest earlier ones in that order, and a match is ext
 What is reported always occurs before, so the first occurrence of any passage stays.
 
 The sort is Spark's range sort down to the document and position, so suffixes that a third of all texts share lie in
-many tasks; that such a task misses what lies in others, and that neighbours share the most to the right but not to
-both sides, is made up for by comparing each suffix with the earliest of its key, and by hashes of the passages of
-MIN_WORDS words around it that it doesn't share with that one. A suffix carries no more than MIN_WORDS words to either side: what a longer repeat has beyond that, its next
-minimiser covers.
+many tasks. That such a task misses what lies in others, and that neighbours share the most to the right but not to
+both sides, is made up for: each suffix is compared with the earliest of its key, and hashes tell the passages of
+MIN_WORDS words it stands for and doesn't share with that one. So the result doesn't depend on how rows are dealt out.
+A suffix carries MIN_WORDS words to the right and what its passages have to the left of it: what a longer repeat has
+beyond that, its next minimiser covers.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 from ..sources.tables import read_table
-from .columns import in_small_batches, q
+from .columns import give_back, in_small_batches, q
+from .marks import marked, told, without
 from .spans import joined_spans, told_spans
 
 #: A repeat has this many words; the n-gram that is hashed; the window. GRAM + WINDOW - 1 is MIN_WORDS.
 MIN_WORDS, GRAM, WINDOW = 50, 20, 31
-#: Ids that may be broadcast: eight to some tens of bytes each, so a few MB. More are joined by a shuffle.
-BROADCAST_IDS = 200_000
 _WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,11 +50,15 @@ def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
         yield from np.split(hashes, np.cumsum(sizes)[:-1])
 
 
-def minimisers(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose n-gram hashes lowest (the leftmost of equals) in a window, and those hashes."""
+def minimisers(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Positions whose n-gram hashes lowest (the leftmost of equals) in a window, those hashes, and the first and last window of each.
+
+    A window is a passage of MIN_WORDS words, and its position depends on its words alone; so equal passages, wherever
+    they stand, have it at the same place.
+    """
     n = len(words) - gram + 1
     if len(words) < gram + window - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     grams = np.zeros(n, np.uint64)
     for k in range(gram):
         grams = (grams ^ (grams >> np.uint64(29))) * _MIX + words[k : k + n]
@@ -65,13 +69,9 @@ def minimisers(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tup
         a, b = least[: len(least) - step], least[step:]
         least = np.where(grams[b] < grams[a], b, a)
         width += step
-    places = least[np.r_[True, least[1:] != least[:-1]]]
-    # One word over and over makes every place a minimum; there each window's first is enough.
-    alike = np.zeros(len(places), bool)
-    alike[1:] = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) == 1)
-    run = np.arange(len(places)) - np.maximum.accumulate(np.where(alike, 0, np.arange(len(places))))
-    places = places[run % window == 0]
-    return places, grams[places].view(np.int64)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    places = least[first]
+    return places, grams[places].view(np.int64), first, np.r_[first[1:], len(least)] - 1
 
 
 def _digest(text: Column) -> list[Column]:
@@ -79,49 +79,45 @@ def _digest(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("text_a"), F.hash(text).alias("text_b")]
 
 
-def _suffixes(texts: DataFrame, with_place: bool) -> DataFrame:
-    """``key, text_a`` of the suffixes of ``id, text, text_a``; with ``again`` (key repeats in its text) or ``id, pos``."""
-    more = [T.StructField("id", texts.schema["id"].dataType), T.StructField("pos", T.IntegerType())] if with_place else [T.StructField("again", T.BooleanType())]
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("text_a", T.LongType()), *more])
+def _keys(texts: DataFrame) -> DataFrame:
+    """``key, text_a, again`` of the suffixes of ``text, text_a``; ``again``: the key repeats in its text."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                keys, places, rest = [], [], []
-                for words in word_hashes([t or "" for t in part["text"]]):
-                    pos, key = minimisers(words)
-                    if not with_place:
-                        key, times = np.unique(key, return_counts=True)
-                        rest.append(times > 1)
-                    keys.append(key)
-                    places.append(pos)
-                owner = np.repeat(np.arange(len(part)), [len(k) for k in keys])
-                out = {"key": np.concatenate(keys), "text_a": part["text_a"].to_numpy()[owner]}
-                out |= {"id": part["id"].to_numpy()[owner], "pos": np.concatenate(places)} if with_place else {"again": np.concatenate(rest)}
-                yield pd.DataFrame(out)
-
-    return texts.mapInPandas(of, schema)
+                found = [np.unique(minimisers(words)[1], return_counts=True) for words in word_hashes([t or "" for t in part["text"]])]
+                owner = np.repeat(np.arange(len(part)), [len(k) for k, _ in found])
+                yield pd.DataFrame({"key": np.concatenate([k for k, _ in found]), "text_a": part["text_a"].to_numpy()[owner], "again": np.concatenate([n > 1 for _, n in found])})
+        give_back()
 
-
-_CONTEXT = [("right", T.BinaryType()), ("left", T.BinaryType())]
+    return texts.mapInPandas(of, "key long, text_a long, again boolean")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """``key, right, left, id, pos`` of the positions of ``id, text, places``: words from there on, and backwards."""
-    schema = T.StructType([T.StructField("key", T.LongType()), *[T.StructField(*c) for c in _CONTEXT], T.StructField("id", texts.schema["id"].dataType), T.StructField("pos", T.IntegerType())])
+    """``key, right, left, id, pos, least, most`` of the suffixes of ``id, text``: words from there on, and backwards.
+
+    ``least, most``: words to the left in the passages of MIN_WORDS words that the suffix stands for.
+    """
+    fields = [("key", T.LongType()), ("right", T.BinaryType()), ("left", T.BinaryType()), ("id", texts.schema["id"].dataType), ("pos", T.IntegerType()), ("least", T.IntegerType()), ("most", T.IntegerType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                rows = []
-                for words, i, places in zip(word_hashes([t or "" for t in part["text"]]), part["id"], part["places"], strict=True):
-                    raw = (words >> np.uint64(32)).astype(">u4")
-                    for p in places:
-                        pos = p["pos"]
-                        rows.append((p["key"], raw[pos : pos + MIN_WORDS].tobytes(), raw[max(0, pos - MIN_WORDS) : pos][::-1].tobytes(), i, pos))
+            rows = []
+            for i, text in zip(batch["id"], batch["text"], strict=True):
+                (words,) = word_hashes([text or ""])
+                raw = (words >> np.uint64(32)).astype(">u4")
+                ahead, back = raw.tobytes(), raw[::-1].tobytes()
+                for p, key, first, last in zip(*(x.tolist() for x in minimisers(words)), strict=True):
+                    behind = len(ahead) - 4 * p
+                    rows.append((key, ahead[4 * p : 4 * (p + MIN_WORDS)], back[behind : behind + 4 * (WINDOW - 1)], i, p, p - last, p - first))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=schema.names)
+                    rows = []
+            if rows:
                 yield pd.DataFrame(rows, columns=schema.names)
+        give_back()
 
     return texts.mapInPandas(of, schema)
 
@@ -185,31 +181,32 @@ def _earlier_neighbours(suffixes: DataFrame) -> DataFrame:
             if pairs:
                 ids, pos, left, other, right = (list(c) for c in zip(*pairs, strict=True))
                 yield _spans(ids, np.array(pos), np.array(right), _common([x for two in zip(other, left, strict=True) for x in two])[::2])
+        give_back()
 
     return suffixes.mapInPandas(walk, schema)
 
 
-_SPLITS = np.arange(MIN_WORDS - GRAM + 1)
+_SPLITS = np.arange(WINDOW)
 
 
-def _sums(column: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes in words, and 64-bit sums over the first 0, 1, ... MIN_WORDS words of each row, weighted by place."""
+def _sums(column: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """64-bit sums over the first 0, 1, ... MIN_WORDS words of each row, weighted by place."""
     words = np.frombuffer(b"".join([x.ljust(4 * MIN_WORDS, b"\0") for x in column]), ">u4").reshape(-1, MIN_WORDS).astype(np.uint64)
     mixed = (words + np.uint64(1)) * _MIX
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
     mixed = (mixed ^ (mixed >> np.uint64(32))) * weights
-    return np.array([len(x) // 4 for x in column]), np.concatenate([np.zeros((len(column), 1), np.uint64), mixed.cumsum(1, dtype=np.uint64)], 1)
+    return np.concatenate([np.zeros((len(column), 1), np.uint64), mixed.cumsum(1, dtype=np.uint64)], 1)
 
 
 def _windows(rows: pd.DataFrame, right: np.ndarray, left: np.ndarray) -> pd.DataFrame:
-    """Every passage of MIN_WORDS words around a suffix's n-gram that the suffix doesn't share with the first of its key.
+    """The passages of MIN_WORDS words that a suffix stands for and doesn't share with the first of its key.
 
     The passages of suffixes of one key are alike where key and hash are, with as many words to the left.
     """
     weights = np.random.default_rng(GRAM).integers(0, 2**63, (2, MIN_WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
-    (n_right, sum_right), (n_left, sum_left) = (_sums(rows[c].tolist(), w) for c, w in zip(("right", "left"), weights, strict=True))
+    sum_right, sum_left = (_sums(rows[c].tolist(), w) for c, w in zip(("right", "left"), weights, strict=True))
     ahead = MIN_WORDS - _SPLITS
-    there = (_SPLITS <= n_left[:, None]) & (ahead <= n_right[:, None])
+    there = (_SPLITS >= rows["least"].to_numpy()[:, None]) & (_SPLITS <= rows["most"].to_numpy()[:, None])
     row, split = np.nonzero(there & ~((_SPLITS <= left[:, None]) & (ahead <= right[:, None])))
     hashes = (sum_left[row, split] + sum_right[row, MIN_WORDS - split] + split.astype(np.uint64)) * _MIX
     start = (rows["pos"].to_numpy()[row] - split).astype("int32")
@@ -236,9 +233,10 @@ def _with_first(suffixes: DataFrame) -> DataFrame:
                 more = part["n"].to_numpy() > 2
                 if more.any():
                     yield _windows(part[more], right[more], left[more])
+        give_back()
 
-    told = both.select("key", "n", "id", "pos", "right", "left", F.col("first.right").alias("first_right"), F.col("first.left").alias("first_left"))
-    found = written(told.mapInPandas(compare, schema))
+    pairs = both.select("key", "n", "id", "pos", "right", "left", "least", "most", F.col("first.right").alias("first_right"), F.col("first.left").alias("first_left"))
+    found = written(pairs.mapInPandas(compare, schema))
     windows = found.where("hash is not null")
     earliest = written(windows.groupBy("key", "hash").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = windows.join(earliest, ["key", "hash"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
@@ -258,22 +256,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(q(text_col), F.lit(""))
     texts = in_small_batches(df).select(q(id_col).alias("id"), text.alias("text"), *_digest(text)).where(F.col("id").isNotNull())
     # Keys that occur in two texts, or twice in one: copies of one text don't make a key common.
-    seen = _suffixes(texts.select("text", "text_a"), False).groupBy("key").agg(F.min("text_a").alias("a"), F.max("text_a").alias("b"), F.max("again").alias("again"))
+    seen = _keys(texts.select("text", "text_a")).groupBy("key").agg(F.min("text_a").alias("a"), F.max("text_a").alias("b"), F.max("again").alias("again"))
     common = written(seen.where("a <> b or again").select("key"))
     firsts = written(texts.groupBy("text_a", "text_b").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     copies = written(texts.select("id", "text_a", "text_b").join(firsts, ["text_a", "text_b"]).where("id <> first_id").select("id").distinct())
-    places = _suffixes(texts.select("id", "text", "text_a"), True).join(common, "key").join(copies, "id", "left_anti")
-    by_text = written(places.groupBy("id").agg(F.collect_set(F.struct("key", "pos")).alias("places")))
-    suffixes = written(_contexts(texts.select("id", "text").join(by_text, "id")))
+    # Suffixes of other keys are left out as they are made; no text is shuffled to them, nor they to texts.
+    all_of = told(_contexts(without(texts.select("id", "text"), copies, "id")), marked(common, "key"), [F.col("key")], "often")
+    suffixes = written(all_of.where("often").drop("often").join(common, "key", "left_semi"))
     # Among suffixes alike to the right those with more to the left come first, so that they are met first.
     order = [F.asc("key"), F.asc("right"), F.desc("left"), F.asc("id"), F.asc("pos")]
     sorted_ones = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    later = _earlier_neighbours(sorted_ones).union(_with_first(suffixes)).select("id", F.struct("start", "end").alias("span"))
-    whole = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "id", "left_semi")
+    later = _earlier_neighbours(sorted_ones).union(_with_first(suffixes)).select("id", "start", "end")
     n_words = F.regexp_count("text", F.lit(r"(?U)\S+")).cast("int")
-    whole = whole.select("id", F.struct(F.lit(0).alias("start"), n_words.alias("end")).alias("span")).where(F.col("span.end") >= MIN_WORDS)
-    out = later.union(whole).groupBy("id").agg(F.collect_set("span").alias("spans"))
-    return out.select(F.col("id").alias(id_col), joined_spans(F.col("spans")).alias("spans"))
+    whole = told(texts.select("id", "text"), marked(copies, "id"), [F.col("id")], "often").where("often")
+    whole = whole.select("id", F.lit(0).alias("start"), n_words.alias("end")).where(F.col("end") >= MIN_WORDS).join(copies, "id", "left_semi")
+    return joined_spans(later.union(whole)).withColumnRenamed("id", id_col)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

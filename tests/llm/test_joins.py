@@ -125,7 +125,7 @@ def brute_runs(text):
     spans = substring_dedup.sentences(text)
     sizes = [len(text[a:b].split()) for a, b in spans]
     n = len(spans)
-    long = [(i, j) for i in range(n) for j in range(i, n) if sum(sizes[i : j + 1]) >= substring_dedup.LONG_SENTENCE or sum(sizes[i : j + 1]) >= substring_dedup.WORDS and j - i + 1 >= substring_dedup.SENTENCES]
+    long = [(i, j) for i in range(n) for j in range(i, n) if sum(sizes[i : j + 1]) >= substring_dedup.WORDS and j - i + 1 >= substring_dedup.SENTENCES]
     shortest = {min((x for x in long if x[0] == i), key=lambda x: x[1], default=None) for i in range(n)}
     shortest |= {max((x for x in long if x[1] == j), key=lambda x: x[0], default=None) for j in range(n)}
     return sorted((spans[i][0], spans[j][1]) for i, j in shortest - {None})
@@ -178,8 +178,9 @@ def test_a_passage_has_a_minimiser():
 
 
 def test_joined_spans(spark):
-    df = spark.createDataFrame([([(5, 9), (1, 3), (3, 4), (8, 12)],), ([],)], "s array<struct<start:int,end:int>>")
-    assert [[tuple(x) for x in r[0]] for r in df.select(joined_spans(F.col("s"))).collect()] == [[(1, 4), (5, 12)], []]
+    rows = [(1, *s) for s in [(5, 9), (1, 3), (3, 4), (8, 12), (8, 12), (6, 7)]] + [(None, 2, 4), (None, 9, 10)]
+    df = spark.createDataFrame(rows, "id long, start int, end int")
+    assert {r.id: [tuple(x) for x in r.spans] for r in joined_spans(df).collect()} == {1: [(1, 4), (5, 12)], None: [(2, 4), (9, 10)]}
 
 
 def test_nearest(spark):
