@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm import exact_dedup, language_id, ngram_join, packing, pii
 from ledgerlark.llm.columns import fresh, q
+from ledgerlark.llm.marks import without
 from ledgerlark.sources.shared import written
 from ledgerlark.sources.tables import read_table
 
@@ -55,18 +56,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that of the smallest doc_id. Rows of a null doc_id stay."""
-    (key,) = fresh(docs, "dropped_id")
-    classes = ngram_join.ngram_join(docs)
-    dropped = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
-    small = dropped.count() <= ngram_join.BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if small else dropped, q("doc_id") == q(key), "left_anti")
+    dropped = written(ngram_join.ngram_join(docs).where("doc_id <> class_id").select("doc_id").distinct())
+    return without(docs, dropped, "doc_id")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each span of personal data replaced by its kind; ``n_chars`` counts the new text."""
     (found,) = fresh(docs, "pii")
     text = q(found)["redacted"]
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return pii.find_pii(docs, result_col=found).select(*[new[c].alias(c) if c in new else q(c) for c in docs.columns])
 
 
