@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 #: Parts that a node's edges are dealt to where they meet its least neighbour, so that a hub isn't one task's work.
-SALTS = 16
+SALTS = 8
 
 
 def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u").toDF("u", "v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

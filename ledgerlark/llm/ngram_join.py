@@ -36,7 +36,7 @@ N = 5
 #: Similarity of 4/5 at least; kept as a ratio so that the comparison is one of whole numbers.
 SIMILAR = (4, 5)
 #: Levels of a path, chance that a pair at the threshold meets, sets of a bucket that is small enough.
-DEPTH, RECALL, SMALL = 6, 0.999, 64
+DEPTH, RECALL, SMALL = 4, 0.999, 64
 #: One bucket in so many samples a second place: 1.25 on average, as many as a pair at the threshold needs to meet in one.
 SECOND = 4
 #: Sketch size, and the share of equal places from which a pair is looked at: four standard deviations below SIMILAR.
@@ -132,33 +132,33 @@ def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> Da
 
 
 def split(buckets: DataFrame) -> DataFrame:
-    """``path, rep`` of the next level, of rows ``path, rep, sketch``."""
+    """Rows ``path, rep, sketch`` on the next level."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 marks = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), SKETCH)
                 rows, paths = children(batch["path"].to_numpy().view(np.uint64), marks)
-                yield pd.DataFrame({"path": paths.view(np.int64), "rep": batch["rep"].to_numpy()[rows]})
+                yield pd.DataFrame({"path": paths.view(np.int64), "rep": batch["rep"].to_numpy()[rows], "sketch": batch["sketch"].to_numpy()[rows]})
 
-    schema = T.StructType([T.StructField("path", T.LongType()), buckets.schema["rep"]])
-    return buckets.select("path", "rep", "sketch").mapInPandas(of, schema)
+    return buckets.mapInPandas(of, T.StructType([buckets.schema[c] for c in ("path", "rep", "sketch")]))
 
 
 def candidate_links(able: DataFrame, depth: int) -> DataFrame:
     """``u, v`` of sets (``rep, sketch, paths``) that hang together: found similar in small buckets, or in one large bucket of the last level."""
+    sketched = able.select("rep", "sketch")
     nodes = able.select(F.explode("paths").alias("path"), "rep")
     small: list[DataFrame] = []
     for level in range(1, depth + 1):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
-        shared = written(nodes.join(sizes, "path"))
-        small.append(shared.where(F.col("size") <= SMALL).select("path", "rep"))
+        shared = nodes.join(sizes, "path")
+        shared = written(shared if level > 1 else shared.join(sketched, "rep")).select("path", "rep", "sketch", "size", "head")
+        small.append(shared.where(F.col("size") <= SMALL))
         large = shared.where(F.col("size") > SMALL)
         if level == depth or large.isEmpty():
             break
-        nodes = split(large.select("path", "rep").join(able.select("rep", "sketch"), "rep"))
-    few = reduce(DataFrame.unionAll, small).join(able.select("rep", "sketch"), "rep")
-    links = promising_links(few.select("path", F.col("rep").alias("id"), "sketch"))
+        nodes = split(large.select("path", "rep", "sketch"))
+    links = promising_links(reduce(DataFrame.unionAll, small).select("path", F.col("rep").alias("id"), "sketch"))
     # What is still large after the last level is one candidate component: its members hang on the smallest of them.
     return links.unionAll(large.select(F.col("rep").alias("u"), F.col("head").alias("v")))
 
