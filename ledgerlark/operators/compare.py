@@ -185,14 +185,20 @@ def roll_up(fields: Column, scanned: Column | None = None) -> Column:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """``kind (name or place), entry``: distinct names and places of documents that were born digital."""
+    """``kind (name or place), entry``: distinct names and places of documents that were born digital.
+
+    Raw values are made distinct first, in the tasks that read them, and normal forms once for each after that.
+    """
     sound = docs.where(F.col("error").isNull() & ~F.col("ocr") & F.col("kind").isin("SI", "BL"))
-    entries = []
+    raw = []
     for name in (*K.PARTIES, *K.PORTS):
-        field = F.try_element_at(F.col("fields"), F.lit(name))
-        entry = F.when(~field["blank"], normal_value(name, field)["text"] if name in K.PARTIES else canon_port(field["raw"])["place"])
-        entries.append(F.struct(F.lit("name" if name in K.PARTIES else "place").alias("kind"), entry.alias("entry")))
-    return sound.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("entry <> ''").distinct()
+        field, party = F.col("fields")[name], name in K.PARTIES
+        text = F.coalesce(F.get(field["block"], F.lit(0)), field["raw"]) if party else field["raw"]
+        raw.append(F.struct(F.lit("name" if party else "place").alias("kind"), F.when(~field["blank"], text).alias("raw")))
+    each = sound.select(F.explode(F.array(*raw)).alias("e")).select("e.*").where("raw <> ''").distinct()
+    line = F.struct(F.col("raw"), F.array("raw").alias("block"))
+    entry = F.when(F.col("kind") == "name", canon_name(party_lines(line)["name"])).otherwise(canon_port(F.col("raw"))["place"])
+    return each.select("kind", entry.alias("entry")).where("entry <> ''").distinct()
 
 
 def likely_pairs(values: DataFrame, entries: DataFrame, least: float) -> DataFrame:

@@ -311,7 +311,7 @@ _NAMES = " UNION ".join(f"SELECT {T.canon_name(T.party(f'si_{f}')[0])} AS entry
 
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     sides = bridge.run(spark, folder, bridge.SIDES)
-    fields = F.map_from_arrays(F.array(*map(F.lit, K.FIELDS)), F.array(*[_field(F.col(f"si_{f}")) for f in K.FIELDS]))
+    fields = F.create_map(*[x for f in K.FIELDS for x in (F.lit(f), _field(F.col(f"si_{f}")))])
     return M.vocabulary(sides.select(fields.alias("fields"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ocr"), F.lit("SI").alias("kind")))
 
 
@@ -417,9 +417,9 @@ _ISSUES = """SELECT l_orderkey, CASE l_linenumber % 5 WHEN 0 THEN 'missing_attac
   CASE l_linenumber % 5 WHEN 0 THEN 'found only 1 attachment' WHEN 1 THEN 'a.txt = OTHER:packing_list' WHEN 2 THEN 'a.pdf: PDF could not be parsed' WHEN 3 THEN 'port_of_loading: value is blank/placeholder' ELSE 'x' END AS detail FROM {lineitem}"""
 
 
-@query(f"""SELECT reason AS raw, CASE reason WHEN 'missing_attachment' THEN 'Missing Attachment' WHEN 'wrong_doc_type' THEN 'Wrong Document Attached (Packing List)' WHEN 'unreadable' THEN 'Unreadable Document / Scan' WHEN 'missing_value' THEN 'Missing Field Information' ELSE 'Other Reason' END AS reason,
-  CASE reason WHEN 'missing_attachment' THEN 'Only one document attached. Verification requires both a Shipping Instruction (SI) and draft Bill of Lading (BL).' WHEN 'wrong_doc_type' THEN 'Carrier draft Bill of Lading (BL) is missing. The email attached a Packing List instead of a draft BL.'
-  WHEN 'unreadable' THEN 'a.pdf: Document could not be opened or is corrupted. Please re-request a clean file.' WHEN 'missing_value' THEN 'Port Of Loading (value is marked as blank/TBA)' ELSE 'x' END AS detail, count(*) AS n FROM ({_ISSUES}) i GROUP BY 1, 2, 3""")
+@query(f"""SELECT reason AS raw, CASE reason WHEN 'missing_attachment' THEN 'Documents missing' WHEN 'wrong_doc_type' THEN 'Other document than expected: Packing List' WHEN 'unreadable' THEN 'Document not readable' WHEN 'missing_value' THEN 'Value missing' ELSE 'Other Reason' END AS reason,
+  CASE reason WHEN 'missing_attachment' THEN 'One document came, two are needed: the shipping instruction and the draft bill of lading.' WHEN 'wrong_doc_type' THEN 'No draft bill of lading among the files; found instead: Packing List.'
+  WHEN 'unreadable' THEN 'a.pdf is damaged and can not be opened; ask for a new copy.' WHEN 'missing_value' THEN 'Port Of Loading (value is left open)' ELSE 'x' END AS detail, count(*) AS n FROM ({_ISSUES}) i GROUP BY 1, 2, 3""")
 def review_issue_text(spark: SparkSession, folder: str) -> DataFrame:
     told = R.review_issue(F.col("reason"), F.col("detail"))
     issues = bridge.run(spark, folder, _ISSUES).groupBy("reason", "detail").agg(F.count("*").alias("n"))

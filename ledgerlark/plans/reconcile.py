@@ -49,12 +49,14 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
 
     Three shuffles by message: its documents' summaries, its two documents' fields, and what people decided.
     """
+    if "broken" not in emails.columns:
+        emails = emails.withColumn("broken", F.lit(None).cast("string"))
     emails = emails.join(_summaries(docs), "email_id", "left")
     documents = F.coalesce("documents", F.array().cast("array<struct<pos:int,path:string,format:string,kind:string,ocr:boolean,error:string>>"))
     kinds = F.transform(documents, lambda d: d["kind"])
-    found = classify(F.col("body"), F.col("subject"), F.size("attachments"), kinds, ask_send_as)
+    found = classify_upload(kinds) if upload else classify(F.col("body"), F.col("subject"), F.size("attachments"), kinds, ask_send_as)
     rows = emails.withColumn("documents", documents).withColumn("c", found).withColumn("stop", guard(documents))
-    rows = rows.select("email_id", "from", "subject", "body", "attachments", "documents", "c.category", "c.confidence", F.col("c.reason").alias("reason"), "stop")
+    rows = rows.select("email_id", "from", "subject", "body", "attachments", "documents", "broken", "c.category", "c.confidence", F.col("c.reason").alias("reason"), "stop")
 
     ready = rows.where("category = 'BL_COMPARISON' and stop is null").select("email_id")
     read = extract(docs.join(ready, "email_id", "left_semi"))
@@ -77,13 +79,14 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     by_person = gated & (F.coalesce("decision", F.lit("")) != "")
     touched = by_person | (gated & F.col("corrections").isNotNull()) if corrections is not None else by_person
     stopped = F.col("stop").isNotNull()
-    pick = lambda person, guard_value, rolled_value: F.when(by_person, person).when(gated & stopped, guard_value).when(gated, rolled_value)
+    failed, why = F.col("broken").isNotNull(), "the message file is not valid JSON"
+    pick = lambda person, guard_value, rolled_value, failure=None: F.when(failed, failure).when(by_person, person).when(gated & stopped, guard_value).when(gated, rolled_value)
     none = F.array().cast("array<string>")
     return rows.select(
-        "email_id", "from", "subject", "body", F.lit("done").alias("processing"), F.lit(None).cast("string").alias("error"), "category", "confidence", "reason",
-        pick(F.col("decision"), F.lit("NEEDS_REVIEW"), F.col("r.status")).alias("status"),
-        pick(F.lit(None), F.col("stop.review_reason"), F.col("r.review_reason")).alias("review_reason"),
-        pick(F.lit(None), F.col("stop.review_detail"), F.col("r.review_detail")).alias("review_detail"),
+        "email_id", "from", "subject", "body", F.when(failed, "FAILED").otherwise("done").alias("processing"), F.when(failed, why).alias("error"), F.when(failed, "GENERAL").otherwise(F.col("category")).alias("category"), F.when(~failed, F.col("confidence")).alias("confidence"), F.when(~failed, F.col("reason")).alias("reason"),
+        pick(F.col("decision"), F.lit("NEEDS_REVIEW"), F.col("r.status"), "NEEDS_REVIEW").alias("status"),
+        pick(F.lit(None), F.col("stop.review_reason"), F.col("r.review_reason"), "unreadable").alias("review_reason"),
+        pick(F.lit(None), F.col("stop.review_detail"), F.col("r.review_detail"), f"processing failed: {why}").alias("review_detail"),
         F.coalesce(pick(F.col("decision") == "MISMATCH", F.lit(False), F.col("r.has_defect")), F.lit(False)).alias("has_defect"),
         F.coalesce(pick(F.coalesce("decided_fields", none), none, F.col("r.defect_fields")), none).alias("defect_fields"),
         "fields", F.when(gated, F.col("documents")).otherwise(F.slice("documents", 1, 0)).alias("documents"),
@@ -92,12 +95,16 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     )
 
 
-def reconcile_uploads(uploads: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents that came without a message: ``email_id`` names the upload. Adds what they are about, and the report."""
-    kinds = _summaries(docs).select("email_id", classify_upload(F.transform("documents", lambda d: d["kind"])).alias("c"))
-    base = uploads.select("email_id", F.lit("").alias("from"), F.lit("").alias("subject"), F.lit("check the draft bl against the si").alias("body"), F.lit(None).cast("array<string>").alias("attachments"))
-    told = reconcile(base, docs, upload=True).drop("category", "confidence", "reason")
-    return told.join(kinds, "email_id", "left").select("*", F.coalesce("c.category", F.lit("GENERAL")).alias("category"), F.coalesce("c.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("c.reason", F.lit("nothing to read")).alias("reason")).drop("c")
+def with_roles(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``docs`` with the kind that a person gave a document (``email_id, path, role``) in place of the one found."""
+    return docs.join(roles, ["email_id", "path"], "left").withColumn("kind", F.coalesce("role", "kind")).select(*docs.columns)
+
+
+def reconcile_uploads(uploads: DataFrame, docs: DataFrame, roles: DataFrame | None = None, resolutions: DataFrame | None = None) -> DataFrame:
+    """The report of documents that came without a message: ``email_id`` names the upload, what it is about follows from their kinds."""
+    none = F.lit(None).cast("array<string>")
+    base = uploads.select("email_id", *[F.lit("").alias(c) for c in ("from", "subject", "body")], none.alias("attachments"))
+    return reconcile(base, docs if roles is None else with_roles(docs, roles), resolutions, upload=True)
 
 
 def reconcile_folder(spark: SparkSession, root: str, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL") -> DataFrame:

@@ -111,6 +111,34 @@ def test_details(report):
     assert rows["email_06"].review_detail == "email_06_1.txt: file could not be found"
 
 
+def test_a_broken_message_is_told(spark, folder, tmp_path):
+    import shutil
+
+    shutil.copytree(folder, tmp_path / "in")
+    (tmp_path / "in/inbox/email_99.json").write_text("{not json")
+    got = {r.email_id: r for r in P.reconcile_folder(spark, str(tmp_path / "in")).collect()}
+    bad = got.pop("email_99")
+    assert (bad.processing, bad.category, bad.status, bad.review_reason, bad.has_defect) == ("FAILED", "GENERAL", "NEEDS_REVIEW", "unreadable", False)
+    assert bad.error in bad.review_detail
+    assert {k: r.status for k, r in got.items()} == {k: v[1] for k, v in CASES.items()}
+    assert all(r.processing == "done" for r in got.values())
+
+
+def test_uploads(spark):
+    docs = [("two", 0, "BL.txt", BL.replace("SIX", "7")), ("two", 1, "SI.txt", SI), ("one", 0, "SI.txt", SI), ("role", 0, "a.txt", "NOTE\n" + SI.split("\n", 1)[1]), ("role", 1, "b.txt", BL)]
+    files = spark.createDataFrame([(i, p, n, bytearray(t.encode())) for i, p, n, t in docs], "email_id string, pos int, path string, content binary")
+    uploads = spark.createDataFrame([("two",), ("one",), ("role",), ("none",)], "email_id string")
+    roles = spark.createDataFrame([("role", "a.txt", "SI")], "email_id string, path string, role string")
+    got = {r.email_id: r for r in P.reconcile_uploads(uploads, readers.read_documents(files), roles).collect()}
+    assert {k: (r.category, r.status, r.review_reason) for k, r in got.items()} == {
+        "two": ("BL_COMPARISON", "MISMATCH", None),
+        "one": ("BL_COMPARISON", "NEEDS_REVIEW", "missing_attachment"),
+        "role": ("BL_COMPARISON", "OK", None),
+        "none": ("GENERAL", None, None),
+    }
+    assert got["two"].swapped_attachment_order and got["two"].defect_fields == ["container_count"]
+
+
 def test_decisions_and_corrections(spark, folder, tmp_path):
     told = {"email_03": {"decision": "OK", "reviewer": "kim", "note": "phoned"}, "email_04": {"corrections": {"bl": {"container_count": "6"}}, "note": "asked"}, "email_05": {"decision": "MISMATCH", "defect_fields": ["shipper"]}}
     (tmp_path / "r.json").write_text(json.dumps(told))
@@ -134,9 +162,9 @@ def test_outputs(spark, report, tmp_path):
 def test_replies(report):
     reply = R.draft_reply(F.col("from"), F.col("subject"), F.col("body"), F.col("status"), F.col("review_reason"), F.col("review_detail"), F.col("fields"))
     got = {r.email_id: r.reply for r in report.select("email_id", reply.alias("reply")).collect()}
-    assert got["email_01"].kind == "ok" and got["email_01"].body.startswith("Hi Anna,\n\nThank you")
-    assert "1 difference that need" in got["email_02"].body and "Container count   6 x 40'HC   7" in got["email_02"].body
-    assert got["email_04"].kind == "missing_value" and "Container count is blank or a placeholder on the draft BL (TBA)" in got["email_04"].body
+    assert got["email_01"].kind == "ok" and got["email_01"].body.startswith("Hi Anna,\n\nMany thanks")
+    assert "in 1 field, listed" in got["email_02"].body and "Container count   6 x 40'HC   7" in got["email_02"].body
+    assert got["email_04"].kind == "missing_value" and "Container count is left open on the draft BL (TBA)" in got["email_04"].body
     assert got["email_08"] is None and got["email_03"].subject == "RE: email_03"
 
 
