@@ -157,7 +157,7 @@ def candidate_links(able: DataFrame, depth: int) -> DataFrame:
         large = shared.where(F.col("size") > SMALL)
         if level == depth or large.isEmpty():
             break
-        nodes = split(large.select("path", "rep", "sketch"))
+        nodes = written(split(large.select("path", "rep", "sketch")))  # counted, then joined with its counts
     links = promising_links(reduce(DataFrame.unionAll, small).select("path", F.col("rep").alias("id"), "sketch"))
     # What is still large after the last level is one candidate component: its members hang on the smallest of them.
     return links.unionAll(large.select(F.col("rep").alias("u"), F.col("head").alias("v")))
