@@ -1,8 +1,8 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule names its regular expression and the literal tokens that any url it fits must hold. The rule is filed under
-the rarest of them; a url is cut into tokens, each token fetches the rules filed under it, and only those run their
-regular expressions. Host and path rules are filed the same way, under their host: a url asks for its own host and
+The literal tokens that any url must hold to fit a rule are read off its regular expression. The rule is filed under
+the rarest of them (rules without any apart); a url is cut into tokens, each token fetches the rules filed under it,
+and only those run their regular expressions. Host and path rules are filed the same way, under their host: a url asks for its own host and
 each parent domain. Work per url depends on its tokens, not on the number of rules, and nothing is shuffled.
 """
 
@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,37 +32,75 @@ HOST_RULES = [
 _TOKEN = re.compile("[a-z0-9]+")
 
 
+def _closed(items: list, i: int, step: int) -> bool:
+    """Whether what stands at place ``i`` of a parsed pattern, read in the direction ``step``, surely parts a token from its neighbour."""
+    if not 0 <= i < len(items):
+        return False
+    op, arg = items[i]
+    inner = lambda sub: _closed(list(sub), 0 if step > 0 else len(sub) - 1, step)
+    if op is _parser.LITERAL:
+        return not _TOKEN.fullmatch(chr(arg))
+    if op is _parser.IN:
+        return all(kind is _parser.LITERAL and not _TOKEN.fullmatch(chr(x)) for kind, x in arg)
+    if op is _parser.SUBPATTERN:
+        return inner(arg[-1])
+    if op is _parser.BRANCH:
+        return all(inner(x) for x in arg[1])
+    if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+        return inner(arg[2]) and (arg[0] > 0 or _closed(items, i + step, step))
+    return op is _parser.AT and arg is not _parser.AT_NON_BOUNDARY
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Alphanumeric runs that every fitting url has as whole tokens: literals of the pattern with a sure end on both sides."""
+    items, found, run = list(_parser.parse(pattern)), [], ""
+    for i, (op, arg) in enumerate([*items, (None, None)]):
+        if op is _parser.LITERAL and _TOKEN.fullmatch(chr(arg)):
+            run += chr(arg)
+            continue
+        if run and _closed(items, i - len(run) - 1, -1) and _closed(items, i, 1):
+            found.append(run)
+        run = ""
+    return tuple(found)
+
+
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: alphanumeric runs that every fitting url has whole; ``pattern`` runs on the lower-cased url."""
+    """``pattern`` runs on the lower-cased url; its verdict is block, or allow: a url that an allow rule fits is never blocked."""
 
     pattern: str
-    tokens: tuple[str, ...]
     verdict: str = "block"
 
 
+def read_rules(spark: SparkSession, path: str) -> list[PatternRule]:
+    """Rules of a text file, one a line: verdict, white space, pattern. Empty lines and those that begin with # are left out."""
+    lines = [r["value"].strip() for r in spark.read.text(path).collect()]
+    return [PatternRule(*line.split(None, 1)[::-1]) for line in lines if line and not line.startswith("#")]
+
+
 #: Kinds of page that a training corpus leaves out.
 PATTERN_RULES = [
-    PatternRule(r"://(?:[^/?#]*[.-])?ads(?:[.-]|$)", ("ads",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?track(?:[.-]|$)", ("track",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?bets(?:[.-]|$)", ("bets",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?casino(?:[.-]|$)", ("casino",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?poker(?:[.-]|$)", ("poker",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?porn(?:[.-]|$)", ("porn",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?xxx(?:[.-]|$)", ("xxx",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?adult-(?:videos?|chat)(?:[.-]|$)", ("adult",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?cheap-pills(?:[.-]|$)", ("cheap", "pills")),
-    PatternRule(r"/wp-login\.php(?:[?#]|$)", ("wp", "login", "php")),
-    PatternRule(r"[?&]sessionid=[0-9a-f]{16}", ("sessionid",)),
+    PatternRule(r"://(?:[^/?#]*[.-])?ads(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?track(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?bets(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?casino(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?poker(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?porn(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?xxx(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?adult-(?:videos?|chat)(?:[.-]|$)"),
+    PatternRule(r"://(?:[^/?#]*[.-])?cheap-pills(?:[.-]|$)"),
+    PatternRule(r"/wp-login\.php(?:[?#]|$)"),
+    PatternRule(r"[?&]sessionid=[0-9a-f]{16}"),
 ]
 
 
 def pattern_index(rules: list[PatternRule]) -> dict[str, list[tuple[re.Pattern, str]]]:
-    """Rules by the one of their tokens that fewest rules name (the longer, then the smaller, among equals)."""
-    named = Counter(t for r in rules for t in set(r.tokens))
+    """Rules by the one of their tokens that fewest rules name (the longer, then the smaller, among equals); those without any under the empty text."""
+    tokens = [literal_tokens(r.pattern) for r in rules]
+    named = Counter(t for own in tokens for t in set(own))
     index = defaultdict(list)
-    for rule in rules:
-        index[min(rule.tokens, key=lambda t: (named[t], -len(t), t))].append((re.compile(rule.pattern), rule.verdict))
+    for rule, own in zip(rules, tokens, strict=True):
+        index[min(own, key=lambda t: (named[t], -len(t), t), default="")].append((re.compile(rule.pattern), rule.verdict))
     return dict(index)
 
 
@@ -89,13 +128,11 @@ def longest_rule(host: str, path: str, index: dict[str, list[tuple[str, str]]])
 
 
 def pattern_verdict(url: str, index: dict[str, list[tuple[re.Pattern, str]]]) -> str:
-    """``block`` if any fetched rule that says so fits, else ``allow``."""
+    """``block`` if a fetched rule that says so fits and none that says allow, else ``allow``. Rules without a token are always fetched."""
     low = url.lower()
-    for token in dict.fromkeys(_TOKEN.findall(low)):
-        for pattern, verdict in index.get(token, ()):
-            if verdict == "block" and pattern.search(low):
-                return verdict
-    return "allow"
+    fetched = [rule for token in dict.fromkeys(["", *_TOKEN.findall(low)]) for rule in index.get(token, ())]
+    fits = {verdict for verdict in {v for _, v in fetched} if any(v == verdict and p.search(low) for p, v in fetched)}
+    return "block" if fits == {"block"} else "allow"
 
 
 def judge_urls(df: DataFrame, url_col: str = "url", host_rules: list[tuple[str, str, str]] = HOST_RULES, pattern_rules: list[PatternRule] = PATTERN_RULES) -> DataFrame:

@@ -36,6 +36,24 @@ def test_language(spark):
     assert language_id.learn(df.limit(0)) == {}
 
 
+def plain_vector(text):
+    """Binds and bundles letter by letter, without counting."""
+    letters = [language_id._letters()[ord(c)] for c in text]
+    line = " ".join("".join(chr(x) for x in letters).split(" ")).split()
+    total = np.zeros(language_id.DIM)
+    for word in line:
+        padded = f" {word} "
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            one, two, three = (language_id._letter_vector(ord(x)).astype(int) for x in (a, b, c))
+            total += np.roll(one, 2) * np.roll(two, 1) * three
+    return total
+
+
+def test_vectors_are_the_plain_ones():
+    texts = [prose(i, 15) for i in range(4)] + ["", "Ünï 12 x", "a", "\u0130stanbul ß", prose(9, 3000), prose(1, 15), prose(1, 15)]
+    assert np.allclose(language_id.bundled(texts), [plain_vector(t) for t in texts])
+
+
 def test_blocks_dont_change_vectors(monkeypatch):
     texts = [prose(i, 40) for i in range(9)] + ["", "Ünï", "a"]
     whole = language_id.bundled(texts)

@@ -102,8 +102,31 @@ def test_urls(spark):
 
 
 def test_rules_are_filed_under_their_rarest_token():
-    rules = [url_filter.PatternRule("a", ("common", "rare")), url_filter.PatternRule("b", ("common", "other"))]
-    assert set(url_filter.pattern_index(rules)) == {"rare", "other"}
+    rules = [url_filter.PatternRule(p) for p in (r"/common/rare\.", r"/common/other(?:[?#]|$)", "ab+c", "/shop[0-9]")]
+    assert set(url_filter.pattern_index(rules)) == {"rare", "other", ""}
+    assert url_filter.pattern_index([]) == {}
+
+
+def test_derived_tokens():
+    want = [("ads",), ("track",), ("bets",), ("casino",), ("poker",), ("porn",), ("xxx",), ("adult",), ("cheap", "pills"), ("wp", "login", "php"), ("sessionid",)]
+    assert [url_filter.literal_tokens(r.pattern) for r in url_filter.PATTERN_RULES] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab1/.-?", max_size=12), max_size=20))
+def test_index_loses_no_rule(urls):
+    """Thousands of rules: what the index fetches gives the verdict of trying every rule."""
+    words = [f"{a}{b}" for a in "ab1" for b in ("", "a", "b", "1", "ab")]
+    rules = [url_filter.PatternRule(p, v) for n in range(90) for w in words for p, v in [(rf"/{w}(?:/|$)", "block"), (rf"[.-]{w}-{n % 7}", "block"), (rf"{w}\.{n}\b", "allow")]]
+    index = url_filter.pattern_index(rules)
+    for url in urls:
+        fits = {r.verdict for r in rules if re.search(r.pattern, url)}
+        assert url_filter.pattern_verdict(url, index) == ("block" if fits == {"block"} else "allow")
+
+
+def test_rule_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# kinds\nblock  /a b$\n\nallow ^x\n")
+    assert url_filter.read_rules(spark, str(tmp_path / "rules.txt")) == [url_filter.PatternRule("/a b$"), url_filter.PatternRule("^x", "allow")]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
