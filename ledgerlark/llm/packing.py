@@ -32,7 +32,7 @@ END_ID = 2
 #: Remainders that are dealt together: this many, or up to twice as many at a task's end.
 GROUP = 1024
 #: Characters that are encoded together, and distinct words that a worker remembers (twice that at most, some 200 bytes each).
-BLOCK_CHARS, CACHED = 1_000_000, 100_000
+BLOCK_CHARS, CACHED = 1_000_000, 200_000
 #: Texts of plain characters are cut into the pre-tokenizer's words here, so that each distinct word is encoded once.
 _OTHER = re.compile(r"[^\n\r\t -&(-~À-ÿ]")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
