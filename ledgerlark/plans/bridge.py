@@ -88,6 +88,8 @@ _LINES = [
     (12, "concat('Gross Weight (KG): ', si_gross_weight_kg)", "true"),
     (13, "'Gross Weight: 1 KG'", "k % 6 = 0"),
 ]
+#: The field that a line of these documents states.
+FIELD_LINES = {2: "shipper", 4: "consignee", 6: "notify_party", 8: "port_of_loading", 9: "port_of_discharge", 10: "container_count", 12: "gross_weight_kg"}
 LINES_TWIN = "WITH s AS MATERIALIZED (" + twin(SIDES) + ")\n" + "\nUNION ALL ".join(f"SELECT k AS doc_id, {n} AS line_no, {text} AS line FROM s WHERE {when}" for n, text, when in _LINES)
 
 

@@ -354,10 +354,10 @@ def levenshtein_contrast(spark: SparkSession, folder: str) -> DataFrame:
     return lcs_ratio(spark, folder).select("p_name", "next_name", F.levenshtein("p_name", "next_name").alias("edits"))
 
 
-@query(f"WITH s AS MATERIALIZED ({bridge.SIDES}) SELECT k, k % 7 <> 0 AND k % 31 <> 0 AS stable FROM s WHERE k % 4 = 0")
+@query(f"WITH s AS MATERIALIZED ({bridge.SIDES}) SELECT k, k % 7 <> 0 AND k % 31 <> 0 AS stable FROM s")
 def ocr_consensus(spark: SparkSession, folder: str) -> DataFrame:
     """Three readings of a shipper, two from the instruction and one from the bill."""
-    sides = bridge.run(spark, folder, bridge.SIDES).where("k % 4 = 0")
+    sides = bridge.run(spark, folder, bridge.SIDES)
     one = lambda c: F.create_map(F.lit("shipper"), _field(F.col(c)))
     agreed = M.consensus(F.lit("party"), F.lit("shipper"), F.array(one("si_shipper"), one("bl_shipper"), one("si_shipper")))
     return sides.select("k", agreed["stable"].alias("stable"))
@@ -524,11 +524,13 @@ def page_bounds_union(spark: SparkSession, folder: str) -> DataFrame:
     return _words(spark, folder).select("l_orderkey", layout.bounds(F.col("words")).alias("b")).select("l_orderkey", "b.*")
 
 
-@query(f"WITH l AS MATERIALIZED ({bridge.LINES_TWIN}) SELECT doc_id, 'port_of_discharge' AS field, 9 AS line_no, 100.0::DOUBLE AS score FROM l WHERE line_no = 9")
+@query(f"WITH l AS MATERIALIZED (SELECT doc_id, line_no, {T.spaced('line')} AS said FROM ({bridge.LINES_TWIN}) x), e AS (SELECT doc_id, {T.lookup('CAST(line_no AS VARCHAR)', {str(n): f for n, f in bridge.FIELD_LINES.items()})} AS field, said FROM l) SELECT doc_id, field, min(line_no) AS line_no, 100.0::DOUBLE AS score FROM e JOIN l USING (doc_id, said) WHERE field IS NOT NULL GROUP BY doc_id, field")
 def evidence_best_line(spark: SparkSession, folder: str) -> DataFrame:
+    """For every field that a document's lines carry, the line its evidence came from."""
     lines = bridge.lines(spark, folder)
-    evidence = lines.where("line_no = 9").select("doc_id", F.lit("port_of_discharge").alias("field"), F.lower("line").alias("evidence"))
-    return layout.best_lines(evidence, lines, ["doc_id"])
+    field = F.create_map(*[F.lit(x) for pair in bridge.FIELD_LINES.items() for x in pair])
+    evidence = lines.select("doc_id", F.try_element_at(field, F.col("line_no")).alias("field"), F.lower("line").alias("evidence"))
+    return layout.best_lines(evidence.where("field is not null"), lines, ["doc_id"])
 
 
 @query("SELECT source, count(*) AS n FROM (SELECT source FROM {documents} UNION ALL SELECT concat('page', page_id % 5) FROM {pages}) u GROUP BY source")

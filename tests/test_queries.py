@@ -10,7 +10,7 @@ import __spark_entry__
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.001")
-SOME = "ship_status ship_defect_counts canon_names canon_ports container_parse weight_parse email_classify field_extract_fold doc_kind html_to_text prior_upsert quality_rules".split()
+SOME = "ship_status ship_defect_counts canon_names canon_ports container_parse weight_parse email_classify field_extract_fold doc_kind html_to_text prior_upsert quality_rules ocr_consensus evidence_best_line".split()
 
 
 def plain(value):
