@@ -18,17 +18,24 @@ from .extract import correction, party_lines
 RESULT_TYPE = "struct<field:string,verdict:string,si:string,bl:string,reason:string,si_evidence:string,bl_evidence:string>"
 
 
-def normal_value(name: str, field: Column) -> Column:
-    """``text, more, number``: a party's name and principal, a port's place and country, or a number."""
+def normal_value(name: str, field: Column, snaps: Column | None = None) -> Column:
+    """``text, more, number``: a party's name and principal, a port's place and country, or a number.
+
+    ``snaps`` (``names, places``: maps, see :func:`snapped`) puts known entries in the place of what a scan says. The
+    country beside a known place doesn't count.
+    """
     none = F.lit(None).cast("string")
 
     def value(text: Column, more: Column, number: Column) -> Column:
         return F.struct(text.cast("string").alias("text"), more.cast("string").alias("more"), number.cast("double").alias("number"))
 
     if name in K.PARTIES:
-        found = let(party_lines(field), lambda p: value(canon_name(p["name"]), F.when(p["behalf"] != "", canon_name(p["behalf"])), F.lit(None)))
+        known = (lambda text: text) if snaps is None else lambda text: let(text, lambda x: F.coalesce(F.try_element_at(snaps["names"], x), x))
+        found = let(party_lines(field), lambda p: value(known(canon_name(p["name"])), F.when(p["behalf"] != "", canon_name(p["behalf"])), F.lit(None)))
     elif name in K.PORTS:
-        found = let(canon_port(field["raw"]), lambda p: value(p["place"], F.when(squash(p["country"]) != squash(p["place"]), p["country"]), F.lit(None)))
+        entry = lambda p: none if snaps is None else F.try_element_at(snaps["places"], p["place"])
+        country = lambda p: F.when(entry(p).isNull() & (squash(p["country"]) != squash(p["place"])), p["country"])
+        found = let(canon_port(field["raw"]), lambda p: value(F.coalesce(entry(p), p["place"]), country(p), F.lit(None)))
     elif name == "container_count":
         found = value(none, none, container_count(field["raw"]))
     else:
@@ -40,11 +47,11 @@ def kind_of(name: str) -> str:
     return "party" if name in K.PARTIES else "port" if name in K.PORTS else "count" if name == "container_count" else "weight"
 
 
-def value_of_kind(kind: Column, field: Column) -> Column:
+def value_of_kind(kind: Column, field: Column, snaps: Column | None = None) -> Column:
     """:func:`normal_value` of a field whose kind is a column."""
     chain = F
     for name in ("shipper", "port_of_loading", "container_count", "gross_weight_kg"):
-        chain = chain.when(kind == kind_of(name), normal_value(name, field))
+        chain = chain.when(kind == kind_of(name), normal_value(name, field, snaps))
     return chain
 
 
@@ -99,9 +106,9 @@ def likeness_of(a: Column, b: Column) -> Column:
     return let(both, lambda t: F.when(t["a"] != t["b"], ratio(t["a"], t["b"])))
 
 
-def consensus(kind: Column, name: Column, passes: Column) -> Column:
+def consensus(kind: Column, name: Column, passes: Column, snaps: Column | None = None) -> Column:
     """``field, stable`` of several readings: the first there is, and whether all have one normal value."""
-    values = F.transform(passes, lambda p: let(F.try_element_at(p, name), lambda f: F.coalesce(F.to_json(F.when(~f["blank"], value_of_kind(kind, f))), F.lit("-"))))
+    values = F.transform(passes, lambda p: let(F.try_element_at(p, name), lambda f: F.coalesce(F.to_json(F.when(~f["blank"], value_of_kind(kind, f, snaps))), F.lit("-"))))
     first = F.get(F.filter(F.transform(passes, lambda p: F.try_element_at(p, name)), lambda f: f.isNotNull()), F.lit(0))
     return F.struct(first.alias("field"), (F.size(F.array_distinct(values)) == 1).alias("stable"))
 
@@ -114,15 +121,17 @@ def table_note(lines: Column, fields: Column) -> Column:
     return F.when((rows > 0) & (stated != rows), F.concat(F.lit("document lists "), rows.cast("string"), F.lit(" container rows but states "), stated.cast("string")))
 
 
-def compare_documents(rows: DataFrame, corrections: str | None = None, result: str = "fields") -> DataFrame:
+def compare_documents(rows: DataFrame, corrections: str | None = None, result: str = "fields", snaps: str | None = None) -> DataFrame:
     """``rows`` with an array of seven results, in the fields' order; null where ``si`` or ``bl`` is.
 
     ``si``, ``bl``: structs ``fields, pass_fields, ocr, lines, kind`` of the two documents. ``corrections``: the name
-    of a column, a struct ``si, bl`` of maps. One function is applied to the array of the seven fields, so the plan
+    of a column, a struct ``si, bl`` of maps; ``snaps``: of one as :func:`snapped` makes it, which counts for scanned
+    documents alone. One function is applied to the array of the seven fields, so the plan
     doesn't grow with them, and what it uses often is bound once.
     """
     si, bl = F.col("si"), F.col("bl")
     scanned = si["ocr"] | bl["ocr"]
+    known = lambda doc: None if snaps is None else F.when(doc["ocr"], F.col(snaps))
     fixed = F.lit(False) if corrections is None else F.col(corrections).isNotNull()
     note = let(
         F.struct(table_note(si["lines"], si["fields"]).alias("a"), table_note(bl["lines"], bl["fields"]).alias("b")),
@@ -131,7 +140,7 @@ def compare_documents(rows: DataFrame, corrections: str | None = None, result: s
 
     def read(side: str, doc: Column, x: Column) -> Column:
         found = F.struct(F.try_element_at(doc["fields"], x["name"]).alias("field"), F.lit(True).alias("stable"))
-        out = F.when(doc["ocr"] & doc["pass_fields"].isNotNull() & ~fixed, consensus(x["kind"], x["name"], doc["pass_fields"])).otherwise(found)
+        out = F.when(doc["ocr"] & doc["pass_fields"].isNotNull() & ~fixed, consensus(x["kind"], x["name"], doc["pass_fields"], known(doc))).otherwise(found)
         if corrections is None:
             return out
         entered = F.try_element_at(F.col(corrections)[side], x["name"])
@@ -154,7 +163,7 @@ def compare_documents(rows: DataFrame, corrections: str | None = None, result: s
 
     def one(x: Column) -> Column:
         reads = F.struct(read("si", si, x).alias("a"), read("bl", bl, x).alias("b"))
-        values = lambda r: F.struct(value_of_kind(x["kind"], r["a"]["field"]).alias("a"), value_of_kind(x["kind"], r["b"]["field"]).alias("b"))
+        values = lambda r: F.struct(value_of_kind(x["kind"], r["a"]["field"], known(si)).alias("a"), value_of_kind(x["kind"], r["b"]["field"], known(bl)).alias("b"))
         like = lambda v: F.when(x["kind"].isin("party", "port"), likeness_of(v["a"], v["b"]))
         return let(reads, lambda r: let(values(r), lambda v: let(like(v), lambda w: let(told(x, r, v, w), lambda t: result_of(x, r, t)))))
 
@@ -237,3 +246,38 @@ def snap_places(values: DataFrame, places: DataFrame) -> DataFrame:
     alike = likely_pairs(values, places, K.SNAP_PLACE).select("value", "entry", F.lit(1).alias("tier"), "score")
     best = Window.partitionBy("value").orderBy(F.desc("tier"), F.desc("score"), F.when(F.col("tier") == 2, F.col("entry")).asc_nulls_last(), F.desc("entry"))
     return exact.union(alike).withColumn("n", F.row_number().over(best)).where("n = 1").select("value", "entry")
+
+
+def scanned_values(docs: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """``email_id, kind (name or place), value``: normal texts of whatever scanned documents were read as, in every pass.
+
+    ``docs`` as extracted; what people entered for a scanned document (``resolutions``) is snapped too, so it is among them.
+    """
+    scans = docs.where("ocr and kind in ('SI', 'BL')")
+    read = scans.select("email_id", F.explode(F.concat(F.array("fields"), F.coalesce("pass_fields", F.array().cast(docs.schema["pass_fields"].dataType)))).alias("m"))
+    fields = {n: F.col("m")[n] for n in (*K.PARTIES, *K.PORTS)}
+    rows = _texts_of(read, fields)
+    if resolutions is None:
+        return rows
+    side = F.when(F.col("kind") == "SI", F.col("corrections")["si"]).otherwise(F.col("corrections")["bl"])
+    entered = scans.select("email_id", "kind").join(resolutions.select("email_id", "corrections"), "email_id").select("email_id", side.alias("m"))
+    return rows.union(_texts_of(entered, {n: F.when(f.isNotNull(), correction(f)) for n, f in fields.items()})).distinct()
+
+
+def _texts_of(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    texts = [F.struct(F.lit("name" if n in K.PARTIES else "place").alias("kind"), normal_value(n, f)["text"].alias("value")) for n, f in fields.items()]
+    return rows.select("email_id", F.explode(F.array(*texts)).alias("t")).select("email_id", "t.*").where("value <> ''").distinct()
+
+
+def snapped(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """``email_id, snaps``: per message, maps ``names, places`` from a scanned value to the known entry in its place.
+
+    ``values`` as of :func:`scanned_values`, ``entries`` as of :func:`vocabulary`. Each distinct value is scored once;
+    values without an entry clearly theirs aren't in the maps, messages without any have no row.
+    """
+    of = lambda df, kind, name: df.where(F.col("kind") == kind).select(name)
+    names = snap_names(of(values, "name", "value"), of(entries, "name", "entry"))
+    places = snap_places(of(values, "place", "value"), of(entries, "place", "entry"))
+    found = names.select(F.lit("name").alias("kind"), "value", "entry").union(places.select(F.lit("place").alias("kind"), "value", "entry"))
+    pairs = lambda kind: F.map_from_entries(F.collect_set(F.when(F.col("kind") == kind, F.struct("value", "entry"))))
+    return values.join(found, ["kind", "value"]).groupBy("email_id").agg(F.struct(pairs("name").alias("names"), pairs("place").alias("places")).alias("snaps"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name
 from ..operators import report as R
 from ..operators.classify import classify, classify_upload
-from ..operators.compare import RESULT_TYPE, compare_documents, roll_up
+from ..operators.compare import RESULT_TYPE, compare_documents, roll_up, scanned_values, snapped, vocabulary
 from ..operators.extract import extract
 from ..sources.inbox import attached_files, read_emails, read_files
 from ..sources.readers import read_documents
+from ..sources.shared import written
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ def prefill(documents: DataFrame) -> DataFrame:
     return sound.groupBy("email_id").agg(F.map_from_entries(F.collect_list(F.struct(F.lower("kind"), values.alias("values")))).alias("prefill"))
 
 
-def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL", upload: bool = False) -> DataFrame:
-    """The report. ``docs`` as :func:`read_documents` gives them; ``resolutions`` as read by their reader.
+def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL", upload: bool = False, entries: DataFrame | None = None) -> DataFrame:
+    """The report. ``docs`` as :func:`read_documents` gives them; ``resolutions`` as read by their reader; ``entries``: the
+    vocabulary (see :func:`entries_of`) that names and places of scanned documents are snapped to, none by default.
 
     Three shuffles by message: its documents' summaries, its two documents' fields, and what people decided.
     """
@@ -71,7 +73,9 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
         rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in decided], F.lit(None).cast("array<string>").alias("decided_fields"))
         corrections = None
     compared = F.col("si").isNotNull() & F.col("bl").isNotNull()
-    rows = compare_documents(rows, corrections)
+    if entries is not None:
+        rows = rows.join(snapped(scanned_values(read, resolutions), entries), "email_id", "left")
+    rows = compare_documents(rows, corrections, snaps=None if entries is None else "snaps")
     rows = rows.withColumn("fields", F.coalesce("fields", F.array().cast(f"array<{RESULT_TYPE}>")))
     rolled = roll_up(F.col("fields"), None if upload else F.col("si.ocr") | F.col("bl.ocr"))
     rows = rows.withColumn("r", F.when(compared, rolled))
@@ -95,22 +99,28 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     )
 
 
+def entries_of(docs: DataFrame) -> DataFrame:
+    """Names and places that the inbox's own documents state, those of scans excepted."""
+    return vocabulary(extract(docs.where("error is null and not ocr and kind in ('SI', 'BL')")))
+
+
 def with_roles(docs: DataFrame, roles: DataFrame) -> DataFrame:
     """``docs`` with the kind that a person gave a document (``email_id, path, role``) in place of the one found."""
     return docs.join(roles, ["email_id", "path"], "left").withColumn("kind", F.coalesce("role", "kind")).select(*docs.columns)
 
 
-def reconcile_uploads(uploads: DataFrame, docs: DataFrame, roles: DataFrame | None = None, resolutions: DataFrame | None = None) -> DataFrame:
+def reconcile_uploads(uploads: DataFrame, docs: DataFrame, roles: DataFrame | None = None, resolutions: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """The report of documents that came without a message: ``email_id`` names the upload, what it is about follows from their kinds."""
     none = F.lit(None).cast("array<string>")
     base = uploads.select("email_id", *[F.lit("").alias(c) for c in ("from", "subject", "body")], none.alias("attachments"))
-    return reconcile(base, docs if roles is None else with_roles(docs, roles), resolutions, upload=True)
+    return reconcile(base, docs if roles is None else with_roles(docs, roles), resolutions, upload=True, entries=entries)
 
 
 def reconcile_folder(spark: SparkSession, root: str, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL") -> DataFrame:
     emails = read_emails(spark, root)
-    docs = read_documents(attached_files(emails, read_files(spark, root)))
-    return reconcile(emails, docs, resolutions, ask_send_as)
+    # Stored, as files would be parsed again for the summaries, the fields and the vocabulary.
+    docs = written(read_documents(attached_files(emails, read_files(spark, root))))
+    return reconcile(emails, docs, resolutions, ask_send_as, entries=entries_of(docs))
 
 
 def retry_ids(emails: DataFrame, prior: DataFrame, asked: list[str]) -> DataFrame:

@@ -219,6 +219,29 @@ def test_snapping(spark):
     assert {tuple(r) for r in M.snap_places(values, places).collect()} == {("NHAVA SHEVA INDIA", "NHAVA SHEVA"), ("BUSANN", "BUSAN")}
 
 
+def test_scans_are_snapped(spark):
+    """Misread names and places of a scan give way to those of sound documents, in all passes; other parties stay other."""
+    scan = BL.replace("Alfa Paper Company", "Alfa Papcr Company").replace("Port Kelang", "Port KlangMalaysia")
+    apart = scan.replace("Alfa Papcr", "A1fa Paper"), scan.replace("East Bright", "Easl Bright")
+    other = BL.replace("Alfa Paper Company", "Omega Timber Company")
+    texts = {"sound": (SI, BL, False, []), "scan": (SI, scan, True, []), "passes": (SI, scan, True, [scan, *apart]), "other": (SI, other, True, [other, other]), "entered": (SI, scan.replace("East Bright", "?"), True, [])}
+    docs = []
+    for key, (si, bl, ocr, passes) in texts.items():
+        docs += [(key, 0, "a.txt", "txt", "SI", False, None, si.split("\n"), []), (key, 1, "b.txt", "txt", "BL", ocr, None, bl.split("\n"), [p.split("\n") for p in passes])]
+    docs = spark.createDataFrame(docs, "email_id string, pos int, path string, fmt string, kind string, ocr boolean, error string, lines array<string>, passes array<array<string>>")
+    uploads = docs.select("email_id").distinct()
+    side = "map<string,string>"
+    told = [("entered", None, None, None, None, (None, {"consignee": "EASF BRIGHT FZ-LLC"}))]
+    told = spark.createDataFrame(told, f"email_id string, decision string, reviewer string, note string, defect_fields array<string>, corrections struct<si:{side},bl:{side}>")
+    verdicts = lambda **k: {r.email_id: [f.verdict for f in r.fields] for r in P.reconcile_uploads(uploads, docs, resolutions=told, **k).collect()}
+    plain, snapped = verdicts(), verdicts(entries=P.entries_of(docs))
+    assert plain["sound"] == snapped["sound"] == ["match"] * 7
+    assert (plain["scan"][0], plain["scan"][4]) == ("uncertain", "mismatch") and snapped["scan"] == ["match"] * 7
+    assert plain["passes"][:2] == ["uncertain"] * 2 and snapped["passes"] == ["match"] * 7
+    assert snapped["other"][0] == plain["other"][0] == "mismatch"
+    assert plain["entered"][1] == "uncertain" and snapped["entered"] == ["match"] * 7
+
+
 def test_packed_formats():
     assert readers.read_packed("a.docx", docx(["SHIPPING INSTRUCTION", " "], [["Shipper", "ALFA\nROAD"], ["one"]]))["lines"] == ["SHIPPING INSTRUCTION", "Shipper: ALFA", "   ROAD"]
     assert readers.read_packed("a.xlsx", xlsx([["TITLE"], ["Shipper", "ALFA | ROAD; TOWN"], []]))["lines"] == ["TITLE", "Shipper: ALFA", "   ROAD", "   TOWN"]
