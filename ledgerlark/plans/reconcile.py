@@ -120,7 +120,8 @@ def reconcile_folder(spark: SparkSession, root: str, resolutions: DataFrame | No
     emails = read_emails(spark, root)
     # Stored, as files would be parsed again for the summaries, the fields and the vocabulary.
     docs = written(read_documents(attached_files(emails, read_files(spark, root))))
-    return reconcile(emails, docs, resolutions, ask_send_as, entries=entries_of(docs))
+    scans = not docs.where("ocr and error is null").isEmpty()  # without any the vocabulary would be of no use
+    return reconcile(emails, docs, resolutions, ask_send_as, entries=entries_of(docs) if scans else None)
 
 
 def retry_ids(emails: DataFrame, prior: DataFrame, asked: list[str]) -> DataFrame:
