@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, nearest, ngram_join, packing, pii, substring_dedup, suffix_dedup, url_filter
+from . import bpe, centroids, exact_dedup, hard_negatives, language_id, nearest, ngram_join, packing, pii, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op6_nearest": nearest.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_centroids": centroids.ORACLE_SQL,
 }
