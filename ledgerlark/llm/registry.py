@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, exact_dedup, hard_negatives, language_id, nearest, ngram_join, packing, pii, substring_dedup, suffix_dedup, url_filter
+from . import bpe, centroids, exact_dedup, fingerprints, hard_negatives, language_id, nearest, ngram_join, packing, pii, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_centroids": centroids.op13_centroids,
 }
 
