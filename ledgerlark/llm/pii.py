@@ -3,7 +3,8 @@
 Three transducers run one after the other over texts that hold something they'd change: homoglyphs (and characters
 without width), spelled digits, and at/dot disguises. Each keeps, for every character it writes, the source
 characters that it stands for. Identifiers found in the rewritten text are thereby spans of the source. Base spans
-always stay; what a rewriting adds is dropped where it overlaps a base span of its kind.
+always stay. What a rewriting adds may overlap or cover one, as a disguised letter before or after it makes the base
+pattern see a part only; it is dropped where it tells no more than base spans of its kind do.
 """
 
 from __future__ import annotations
@@ -76,8 +77,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 class Tape:
     """A text with, for each of its characters, where its source begins and ends."""
 
-    def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
+    def __init__(self, text: str, spelled: bool = False):
+        """``spelled``: whether digit words are read as digits."""
+        self.text, self.starts, self.ends, self.spelled = text, range(len(text)), range(1, len(text) + 1), spelled
 
     def rewrite(self, edits: Iterator[tuple[int, int, str]]) -> None:
         """Puts each text in place of a span; spans come left to right. What is written stands for the whole span."""
@@ -137,6 +139,8 @@ _NUMERIC_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
 _BRACKET = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
 #: What an address has that is disguised by the bare word at alone; any other has the letters dot or a bracket.
 _BARE_AT = re.compile(rf"(?i)\sat\s+{_LABEL}\.")
+#: Words before a bare "at" and a plain host name that speak of the site, not of a mailbox there.
+_NO_MAILBOX = frozenset("look looking us me you them here there available found find online website site page pages visit more read shop buy order book posted published hosted live see is are was were it store stay video listed registered only now today details".split())
 
 
 def _spelled_edits(text: str, runs: re.Pattern) -> Iterator[tuple[int, int, str]]:
@@ -165,6 +169,8 @@ def _disguise_edits(text: str) -> Iterator[tuple[int, int, str]]:
     edits = {m.span(): "." for m in _NUMERIC_DOT.finditer(text)}
     for address in _ADDRESS.finditer(text):
         parts = list(_DISGUISE.finditer(text, *address.span()))
+        if len(parts) == 1 and text[address.start() : parts[0].start()].lower() in _NO_MAILBOX:
+            continue
         if any(m["dot"] or m[0] != "@" for m in parts):
             ats = [m for m in parts if m["at"]]
             edits |= {m.span(): "." for m in parts if m["dot"]} | {m.span(): "@" for m in ats[-1:]}
@@ -174,7 +180,7 @@ def _disguise_edits(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _normalised(text: str, runs: re.Pattern | None) -> Tape:
     """What the transducers make of ``text`` with the spelled digits of such runs."""
-    tape = Tape(text)
+    tape = Tape(text, runs is not None)
     if not text.isascii() and _ODD.search(text):
         tape.rewrite((m.start(), m.end(), HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(text))
     if runs is not None:
@@ -200,6 +206,21 @@ def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
     return [s for s in spans if all(s[1] <= t[0] or t[1] <= s[0] for t in taken)]
 
 
+def _tells_more(span: Span, base: list[Span], text: str, spelled: bool) -> bool:
+    """Whether a revealed span says more than base spans of its kind.
+
+    One that overlaps none does, and one that reaches beyond those it overlaps; but a single digit word beside an
+    identifier that is whole without it ("+1 415 555 0199 one of us") is taken for a word.
+    """
+    over = [s for s in base if s[0] < span[1] and span[0] < s[1]]
+    if not over:
+        return True
+    outside = [text[span[0] : max(span[0], over[0][0])], text[min(span[1], over[-1][1]) : span[1]]]
+    if not any(outside):
+        return False
+    return not spelled or sum(len(_ANY_WORD.findall(x)) for x in outside) != 1
+
+
 def _longest(spans: set[Span]) -> list[Span]:
     """Of spans that overlap the longest."""
     kept: list[Span] = []
@@ -214,9 +235,12 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     tapes = readings(text)
     if not tapes:
         return base, base
-    found = [(t, base_spans(t.text)) for t in tapes]
-    revealed = {k: {(t.starts[a], t.ends[b - 1]) for t, spans in found for a, b in spans[k]} for k in KINDS}
-    return base, {k: sorted([*base[k], *_longest(set(_free(revealed[k], base[k])))]) for k in KINDS}
+    revealed: dict[str, set[Span]] = {k: set() for k in KINDS}
+    for tape in tapes:
+        for k, spans in base_spans(tape.text).items():
+            found = [(tape.starts[a], tape.ends[b - 1]) for a, b in spans]
+            revealed[k] |= {s for s in found if _tells_more(s, base[k], text, tape.spelled)}
+    return base, {k: sorted([*base[k], *_longest(revealed[k])]) for k in KINDS}
 
 
 def told(spans: dict[str, list[Span]]) -> str:
