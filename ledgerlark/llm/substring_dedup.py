@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence on, and up to every sentence, the shortest run of several sentences that is long enough is hashed,
-so a repeated passage is covered to both of its ends. Texts are cut once, into a table of runs. Hashes meet globally in
+From every sentence on, and up to every sentence, the shortest run of several sentences is hashed: every two that
+follow each other, and of a longer run every sentence is in such a pair, so whatever repeats is covered to both of its
+ends. A caller may ask for runs of so many words at least; then it is the shortest run that has them. Texts are cut once, into a table of runs. Hashes meet globally in
 a sum that Spark combines before it shuffles: how often each occurs, and where first. Those that occur again are
 joined with the runs, and sentences that a run other than the first covers are removed.
 
@@ -26,7 +27,9 @@ from .marks import marked, told
 from .spans import joined_spans, told_spans
 
 #: A run has this many sentences and words at least. A sentence of more than MOST words is cut at clause marks, or every MOST words.
-SENTENCES, WORDS, MOST = 2, 25, 25
+SENTENCES, WORDS, MOST = 2, 0, 25
+#: Words of a run in the query: shorter ones are stock phrases that otherwise clean documents share (README has figures).
+QUERY_WORDS = 15
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _CLAUSE = re.compile(r"(?<=[,;:])\s+")
 _WORD = re.compile(r"\S+")
@@ -124,6 +127,6 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(read_table(spark, sf_dir, "documents"))
+    found = repeated_spans(read_table(spark, sf_dir, "documents"), min_words=QUERY_WORDS)
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", removed.cast("long").alias("n_removed"), told_spans(F.col("spans")).alias("spans"))
