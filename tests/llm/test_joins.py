@@ -155,6 +155,39 @@ def test_runs():
         assert [(a, b) for a, b, _ in substring_dedup.runs(text)] == brute_runs(text)
 
 
+def brute_repeats(rows, min_words):
+    """Words' characters that a run of several sentences covers which occurs before, every run of every length being tried."""
+    seen, lost = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        spans = substring_dedup.sentences(text or "")
+        said = [" ".join(text[a:b].lower().split()) for a, b in spans]
+        own, gone = [], set()
+        for x in range(len(spans)):
+            for y in range(x + 1, len(spans)):
+                key = tuple(said[x : y + 1])
+                if sum(len(s.split()) for s in key) < min_words:
+                    continue
+                if key in seen:
+                    gone |= set(range(spans[x][0], spans[y][1]))
+                seen.add(key)
+                own.append(key)
+        if gone:
+            lost[i] = {c for c in gone if not text[c].isspace()}
+    return lost
+
+
+@pytest.mark.parametrize("min_words", [0, 12, 25])
+def test_every_repeated_run_is_covered(spark, min_words):
+    rng = np.random.default_rng(6)
+    stock = [prose(400 + i, 9) if i % 3 else f"Well {i}." for i in range(12)]
+    rows = [(i, " ".join(stock[k] if k < 12 else prose(int(1000 + 50 * i + k), int(rng.integers(3, 14))) for k in rng.integers(0, 24, int(rng.integers(1, 14))))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, rows[5][1]), (63, f"{rows[7][1]} {rows[7][1]}"), (64, prose(3, 700) + " " + rows[9][1])]
+    df = clashing(spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")).repartition(3)
+    text = dict(rows)
+    got = {r.doc_id: {c for s in r.spans for c in range(s.start, s.end) if not text[r.doc_id][c].isspace()} for r in substring_dedup.repeated_spans(df, min_words=min_words).collect()}
+    assert got == brute_repeats(rows, min_words)
+
+
 def test_suffix_dedup(spark, docs):
     shared = passage(77, 70)
     rows = [(100 + i, f"{passage(200 + i, 60)} {shared} {passage(300 + i, 45)}") for i in range(5)]

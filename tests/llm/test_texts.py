@@ -108,8 +108,12 @@ def test_rules_are_filed_under_their_rarest_token():
 
 
 def test_derived_tokens():
-    want = [("ads",), ("track",), ("bets",), ("casino",), ("poker",), ("porn",), ("xxx",), ("adult",), ("cheap", "pills"), ("wp", "login", "php"), ("sessionid",)]
-    assert [url_filter.literal_tokens(r.pattern) for r in url_filter.PATTERN_RULES] == want
+    rules = {r.pattern: url_filter.literal_tokens(r.pattern) for r in url_filter.PATTERN_RULES}
+    assert all(rules.values())  # no shipped rule is tried on every url
+    some = {r"/wp-login\.php(?:[?#]|$)": ("wp", "login", "php"), r"[?&;]sessionid=[0-9a-f]{16}": ("sessionid",), r"://(?:[^/?#]*[.-])?adult-(?:videos?|chat)(?:[.-]|$)": ("adult",)}
+    assert {k: rules[k] for k in some} == some
+    assert url_filter.literal_tokens("(?i)/Ads/") == ("ads",)
+    assert url_filter.literal_tokens("/(?i:Ads)/") == url_filter.literal_tokens("/adS[A-Z]") == url_filter.literal_tokens("a/|b/") == ()
 
 
 @settings(max_examples=60, deadline=None)
@@ -124,6 +128,22 @@ def test_index_loses_no_rule(urls):
         assert url_filter.pattern_verdict(url, index) == ("block" if fits == {"block"} else "allow")
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aAbSsiıſ1/.-", max_size=12), max_size=20), st.sampled_from(["", "(?i)", "(?x)"]))
+def test_flags_and_capitals_lose_no_rule(urls, flags):
+    words = ["a", "As", "sI", "AB1", "bS", "i", "s"]
+    rules = [url_filter.PatternRule(flags + p.format(w), v) for w in words for p, v in [("/{}/", "block"), ("[.A-]{}-", "block"), ("(?:[/S]|^){}\\b", "allow"), ("-(?i:{})/", "block"), ("/{}[S.]", "block"), ("/{}+/", "allow")]]
+    index = url_filter.pattern_index(rules)
+    for url in urls:
+        fits = {r.verdict for r in rules if re.search(r.pattern, url.lower())}
+        assert url_filter.pattern_verdict(url, index) == ("block" if fits == {"block"} else "allow")
+
+
+def test_a_rule_that_ignores_case_is_fetched():
+    index = url_filter.pattern_index([url_filter.PatternRule("(?i)/Ads/")])
+    assert set(index) == {"ads"} and url_filter.pattern_verdict("http://x.org/ADS/1", index) == "block"
+
+
 def test_rule_file(spark, tmp_path):
     (tmp_path / "rules.txt").write_text("# kinds\nblock  /a b$\n\nallow ^x\n")
     assert url_filter.read_rules(spark, str(tmp_path / "rules.txt")) == [url_filter.PatternRule("/a b$"), url_filter.PatternRule("^x", "allow")]
@@ -174,6 +194,38 @@ def test_disguises(text, kind, found):
     assert all(set(base[k]) <= set(spans[k]) for k in pii.KINDS)
 
 
+LIKE = {v: k for k, v in reversed(pii.HOMOGLYPHS.items())}
+WHOLE = [("email", "john.doe@mail.example.com"), ("email", "x@y.io"), ("ip", "210.14.5.201"), ("card", "4111111111111111"), ("card", "4111 1111-1111 1111"), ("phone", "+1 415 555 0199"), ("phone", "+49 (30) 123-4567")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(WHOLE), st.sets(st.integers(0, 24), max_size=6), st.sampled_from(["homoglyph", "no width"]), st.sampled_from(["", "Call ", "см. "]), st.sampled_from(["", " now", ", да"]))
+def test_a_disguised_character_anywhere_hides_nothing(whole, places, how, before, after):
+    kind, said = whole
+    hidden = "".join((LIKE.get(c, c) if how == "homoglyph" else f"{c}\u200b" if i + 1 < len(said) else c) if i in places else c for i, c in enumerate(said))
+    text = before + hidden + after
+    base, spans = pii.all_spans(text)
+    assert (len(before), len(before + hidden)) in spans[kind]
+    assert set(base[kind]) <= set(spans[kind])
+    assert pii.redacted(text, spans) == f"{before}<{kind.upper()}>{after}"  # no fragment is left
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("j\u043ehn@example.com", "email", ["j\u043ehn@example.com", "hn@example.com"]),
+        ("john@example.c\u043em", "email", ["john@example.c", "john@example.c\u043em"]),
+        ("jane dot doe@example.com", "email", ["jane dot doe@example.com", "doe@example.com"]),
+        ("+1 415 555 01 nine nine", "phone", ["+1 415 555 01", "+1 415 555 01 nine nine"]),
+        ("+1 415 555 0199 one of us", "phone", ["+1 415 555 0199"]),
+        ("look at example.com, it is available at shop.example.org", "email", []),
+    ],
+)
+def test_what_covers_a_base_span(text, kind, found):
+    _, spans = pii.all_spans(text)
+    assert [text[a:b] for a, b in spans[kind]] == found
+
+
 @pytest.mark.parametrize("more", ["", " An anecdote.", " [at] the gate"])
 def test_an_address_does_not_depend_on_other_words(more):
     text = "write to jane at example.com or bob.b\tAT\tmail.example.org today." + more
