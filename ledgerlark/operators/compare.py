@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.normalise import canon_name, canon_port, container_count, weight_kg
-from ..functions.similarity import ratio, ratio_udf
+from ..functions.similarity import ratio
 from ..functions.text import general, let, quoted, squash
+from .alike import likely_pairs
+from .dealing import dealt
 from .extract import correction, party_lines
 
 RESULT_TYPE = "struct<field:string,verdict:string,si:string,bl:string,reason:string,si_evidence:string,bl_evidence:string>"
@@ -121,14 +123,15 @@ def table_note(lines: Column, fields: Column) -> Column:
     return F.when((rows > 0) & (stated != rows), F.concat(F.lit("document lists "), rows.cast("string"), F.lit(" container rows but states "), stated.cast("string")))
 
 
-def compare_documents(rows: DataFrame, corrections: str | None = None, result: str = "fields", snaps: str | None = None) -> DataFrame:
-    """``rows`` with an array of seven results, in the fields' order; null where ``si`` or ``bl`` is.
+def compare_documents(rows: DataFrame, corrections: str | None = None, result: str = "fields", snaps: str | None = None, key: str | None = None) -> DataFrame:
+    """``rows`` (dealt by ``key`` to all cores first, if it is named) with an array of seven results, in the fields' order; null where ``si`` or ``bl`` is.
 
     ``si``, ``bl``: structs ``fields, pass_fields, ocr, lines, kind`` of the two documents. ``corrections``: the name
     of a column, a struct ``si, bl`` of maps; ``snaps``: of one as :func:`snapped` makes it, which counts for scanned
     documents alone. One function is applied to the array of the seven fields, so the plan
     doesn't grow with them, and what it uses often is bound once.
     """
+    rows = rows if key is None else dealt(rows, key)
     si, bl = F.col("si"), F.col("bl")
     scanned = si["ocr"] | bl["ocr"]
     known = lambda doc: None if snaps is None else F.when(doc["ocr"], F.col(snaps))
@@ -193,12 +196,13 @@ def roll_up(fields: Column, scanned: Column | None = None) -> Column:
     )
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """``kind (name or place), entry``: distinct names and places of documents that were born digital.
+def vocabulary(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``kind (name or place), entry``: distinct names and places of documents that were born digital (dealt by ``key`` first, if it is named).
 
     Raw values are made distinct first, in the tasks that read them, and normal forms once for each after that.
     """
     sound = docs.where(F.col("error").isNull() & ~F.col("ocr") & F.col("kind").isin("SI", "BL"))
+    sound = sound if key is None else dealt(sound, key)
     raw = []
     for name in (*K.PARTIES, *K.PORTS):
         field, party = F.col("fields")[name], name in K.PARTIES
@@ -210,20 +214,6 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return each.select("kind", entry.alias("entry")).where("entry <> ''").distinct()
 
 
-def likely_pairs(values: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """``value, entry, score`` of pairs that score ``least`` or more, of squashed texts.
-
-    A likeness bounds how far lengths can be apart, so entries are joined on the lengths that a value allows; only
-    pairs that share such a length are scored.
-    """
-    reach = least / (200 - least)
-    size = F.length(squash(F.col("value")))
-    wanted = values.where(size > 0).select("value", F.explode(F.sequence(F.ceil(size * reach), F.floor(size / reach))).alias("size"))
-    stock = entries.select("entry", F.length(squash(F.col("entry"))).cast("long").alias("size"))
-    pairs = wanted.join(stock, "size").select("value", "entry", ratio_udf(squash(F.col("value")), squash(F.col("entry"))).alias("score"))
-    return pairs.where(F.col("score") >= least)
-
-
 def snap_names(values: DataFrame, names: DataFrame) -> DataFrame:
     """``value, entry`` where the best name is alike enough and clearly ahead of the next."""
     pairs = likely_pairs(values.distinct(), names, K.SNAP_NAME - K.SNAP_LEAD)

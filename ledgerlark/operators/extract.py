@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import FIELDS, LABEL_ALIASES, LABEL_LIKENESS, LABELS, NET_WEIGHT, PARTIES
 from ..functions.similarity import ratio_of
 from ..functions.text import is_placeholder, let, strip, strip_cjk
+from .dealing import dealt
 
 FIELD_TYPE = "struct<raw:string,block:array<string>,blank:boolean,evidence:string,wrapped:boolean>"
 HIT_TYPE = "struct<field:string,value:string>"
@@ -54,10 +55,14 @@ def clean_line(line: Column) -> Column:
     return F.replace(strip_cjk(line), F.lit(" "), F.lit(" "))
 
 
+#: What a line must open with to have any label: most lines are done after this one pattern.
+_ANY_LABEL = rf"(?i)^\s*(?:{'|'.join(LABELS[f] for f in FIELDS)})"
+
+
 def _hits(line: Column) -> Column:
     """Fields whose label opens the line, in the fields' order, with what follows the label."""
     found = [F.when(line.rlike(label_pattern(f)), F.struct(F.lit(f).alias("field"), strip(F.regexp_extract(line, label_pattern(f), 1)).alias("value"))) for f in FIELDS]
-    return F.filter(F.array(*found), lambda h: h.isNotNull())
+    return F.when(line.rlike(_ANY_LABEL), F.filter(F.array(*found), lambda h: h.isNotNull())).otherwise(F.array().cast(f"array<{HIT_TYPE}>"))
 
 
 def _read(raw: Column, line: Column, scanned: Column) -> Column:
@@ -124,8 +129,14 @@ def fields_of(lines: Column, scanned: Column | None = None) -> Column:
     return F.aggregate(read, empty, step, lambda acc: acc["out"])
 
 
+def folded(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` (``lines``), dealt by ``key`` to all cores, with ``fields``: no scan among them."""
+    return dealt(docs, key).withColumn("fields", fields_of(F.col("lines")))
+
+
 def extract(docs: DataFrame) -> DataFrame:
-    """``docs`` (``lines``, ``passes``, ``ocr``) with ``fields`` and ``pass_fields``. Python only sees scans."""
+    """``docs`` (``lines``, ``passes``, ``ocr``), dealt by message to all cores, with ``fields`` and ``pass_fields``. Python only sees scans."""
+    docs = dealt(docs, "email_id")
     scans = docs.withColumn("scanned", scanned_labels(F.when(F.col("ocr"), F.transform("lines", clean_line))))
     out = scans.withColumn("fields", fields_of(F.col("lines"), F.col("scanned"))).drop("scanned")
     passes = out.select("email_id", "pos", F.posexplode("passes").alias("n_pass", "lines")).withColumn("scanned", scanned_labels(F.transform("lines", clean_line)))
@@ -141,7 +152,7 @@ def extract_flush_left(lines: DataFrame, keys: list[str]) -> DataFrame:
     after it, up to the next line that isn't, belong to a party's block.
     """
     text = strip(clean_line(F.col("line")))
-    rows = lines.withColumn("text", text).withColumn("indented", _is_indented(F.col("line"))).withColumn("hit", F.get(_hits(clean_line(F.col("line"))), F.lit(0)))
+    rows = dealt(lines, *keys).withColumn("text", text).withColumn("indented", _is_indented(F.col("line"))).withColumn("hit", F.get(_hits(clean_line(F.col("line"))), F.lit(0)))
     in_order = Window.partitionBy(*keys).orderBy("line_no")
     heads = rows.withColumn("head", F.sum(F.when(F.col("indented"), 0).otherwise(1)).over(in_order))
     opened = heads.where(~F.col("indented") & F.col("hit").isNotNull() & ~F.col("text").rlike(NET_WEIGHT))

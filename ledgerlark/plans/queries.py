@@ -52,7 +52,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
         fields = F.map_from_arrays(F.array(*map(F.lit, K.FIELDS)), F.array(*[_field(F.col(f"{side}_{f}")) for f in K.FIELDS]))
         passes = F.lit(None).cast(f"array<map<string,{E.FIELD_TYPE}>>")
         docs.append(F.struct(fields.alias("fields"), passes.alias("pass_fields"), F.lit(False).alias("ocr"), none.alias("lines"), F.lit(side.upper()).alias("kind")).alias(side))
-    return M.compare_documents(sides.select("k", *docs)).select("k", "fields", M.roll_up(F.col("fields"), F.lit(False)).alias("r"))
+    return M.compare_documents(sides.select("k", *docs), key="k").select("k", "fields", M.roll_up(F.col("fields"), F.lit(False)).alias("r"))
 
 
 _VERDICTS = "\nUNION ALL ".join(
@@ -242,7 +242,7 @@ def field_extract_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_EXTRACT)
 def field_extract_fold(spark: SparkSession, folder: str) -> DataFrame:
-    found = bridge.documents(spark, folder).select("doc_id", F.explode(E.fields_of(F.col("lines"))).alias("field", "f"))
+    found = E.folded(bridge.documents(spark, folder), "doc_id").select("doc_id", F.explode("fields").alias("field", "f"))
     return found.select("doc_id", "field", "f.raw", "f.blank", F.size("f.block").alias("n_block"))
 
 
@@ -312,7 +312,7 @@ _NAMES = " UNION ".join(f"SELECT {T.canon_name(T.party(f'si_{f}')[0])} AS entry
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     sides = bridge.run(spark, folder, bridge.SIDES)
     fields = F.create_map(*[x for f in K.FIELDS for x in (F.lit(f), _field(F.col(f"si_{f}")))])
-    return M.vocabulary(sides.select(fields.alias("fields"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ocr"), F.lit("SI").alias("kind")))
+    return M.vocabulary(sides.select("k", fields.alias("fields"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ocr"), F.lit("SI").alias("kind")), key="k")
 
 
 @query(f"WITH s AS MATERIALIZED ({bridge.SIDES}) {_NAMES}")
@@ -325,7 +325,23 @@ def vocab_places(spark: SparkSession, folder: str) -> DataFrame:
     return _vocabulary(spark, folder).where("kind = 'place'").select("entry")
 
 
-@query()
+def _alike(a: str, b: str) -> str:
+    """Likeness of two squashed texts of at most 62 letters, in SQL: the table's row is a number, a letter of ``b`` a step."""
+    full = f"((1::BIGINT << len({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda y: list_sum(list_transform(range(0, len({a})), lambda i: CASE WHEN {a}[i + 1] = y THEN 1::BIGINT << i ELSE 0::BIGINT END))::BIGINT)"
+    row = f"list_reduce({masks}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})"
+    return f"200.0 * (len({a}) - bit_count({row})) / (len({a}) + len({b}))"
+
+
+_ENTRIES = f"e AS (SELECT entry, {T.squash('entry')} AS b FROM (SELECT DISTINCT upper(p_name) AS entry FROM {{part}}) n)"
+
+
+@query(
+    f"""WITH {_ENTRIES}, v AS (SELECT value, {T.squash('value')} AS a FROM (SELECT DISTINCT concat(substring(entry, 1, 1), substring(entry, 3)) AS value FROM e) n),
+    s AS (SELECT value, entry, {_alike('a', 'b')} AS score FROM v, e WHERE a <> '' AND b <> ''),
+    r AS (SELECT *, lead(score) OVER (PARTITION BY value ORDER BY score DESC, entry DESC) AS next, row_number() OVER (PARTITION BY value ORDER BY score DESC, entry DESC) AS n FROM s)
+    SELECT value, entry FROM r WHERE n = 1 AND score >= {K.SNAP_NAME} AND (next IS NULL OR score - next >= {K.SNAP_LEAD})"""
+)
 def snap_names_top1(spark: SparkSession, folder: str) -> DataFrame:
     """Part names with their second letter gone, snapped to the names there are."""
     names = read_table(spark, folder, "part").select(F.upper("p_name").alias("entry")).distinct()
@@ -333,7 +349,11 @@ def snap_names_top1(spark: SparkSession, folder: str) -> DataFrame:
     return M.snap_names(values, names)
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT upper(n_name) AS entry, {T.squash('n_name')} AS b FROM {{nation}}), v AS (SELECT value, {T.squash('value')} AS a FROM (SELECT concat(entry, ' LAND') AS value FROM e UNION SELECT concat(substring(entry, 1, 2), substring(entry, 4)) FROM e) n),
+    s AS (SELECT value, entry, CASE WHEN a = b OR (starts_with(a, b) AND len(b) >= {K.SNAP_PREFIX}) THEN 2 ELSE 1 END AS tier, CASE WHEN a = b OR (starts_with(a, b) AND len(b) >= {K.SNAP_PREFIX}) THEN len(entry) ELSE {_alike('a', 'b')} END AS score FROM v, e)
+    SELECT value, entry FROM s WHERE tier = 2 OR score >= {K.SNAP_PLACE} QUALIFY row_number() OVER (PARTITION BY value ORDER BY tier DESC, score DESC, CASE WHEN tier = 2 THEN entry END ASC NULLS LAST, entry DESC) = 1"""
+)
 def snap_places_top1(spark: SparkSession, folder: str) -> DataFrame:
     """Nations with a country run on, or with a letter gone, snapped to the nations there are."""
     places = read_table(spark, folder, "nation").select(F.upper("n_name").alias("entry"))
@@ -341,7 +361,10 @@ def snap_places_top1(spark: SparkSession, folder: str) -> DataFrame:
     return M.snap_places(values, places)
 
 
-@query()
+@query(
+    f"""SELECT p_name, next_name, round({_alike('p_name', 'next_name')}, 6) AS ratio, round({_alike('p_name', 'next_name')}, 6) AS ratio_arrow
+    FROM (SELECT p_name, lead(p_name) OVER (PARTITION BY p_name[1] ORDER BY p_name) AS next_name FROM (SELECT DISTINCT p_name FROM {{part}}) d) e WHERE next_name IS NOT NULL"""
+)
 def lcs_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Likeness of each part name with the next in order, by the column form and by the Arrow form."""
     names = read_table(spark, folder, "part").select("p_name").distinct()
