@@ -8,9 +8,11 @@ brute force on sketches, a large one is split again. All runs are split together
 buckets go on to the next level.
 
 Runs repeat until a pair at the threshold meets with the target chance, even if all its buckets are split to the end.
-What brute force finds similar, and what is still large at the last level, hangs together in components. Each is then
-searched exactly: every pair of its sets, in blocks, with the sets themselves. So a pair counts only if it is truly
-similar.
+A bucket that three levels in a row don't split (its sets are near copies of each other), or that is still large after
+the last level, is searched by its smallest set: what is like that one hangs on it, and only the others are compared
+with all of the bucket, on sketches and in blocks. So texts that share boilerplate are split apart, and no large bucket
+is taken for alike untried. What is found similar hangs together in components. Each is then searched exactly: every
+pair of its sets, in blocks of bounded bytes, with the sets themselves. So a pair counts only if it is truly similar.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +37,19 @@ from .marks import marked, told
 N = 5
 #: Similarity of 4/5 at least; kept as a ratio so that the comparison is one of whole numbers.
 SIMILAR = (4, 5)
-#: Levels of a path, chance that a pair at the threshold meets, sets of a bucket that is small enough.
-DEPTH, RECALL, SMALL = 4, 0.999, 64
+#: Levels of a path at most, chance that a pair at the threshold meets if it is split so often (0.9996 if four times),
+#: sets of a bucket that is small enough.
+DEPTH, RECALL, SMALL = 8, 0.99, 64
+#: A level splits a bucket if no child has so large a share of it, in per cent; so many levels in a row that don't end it.
+UNSPLIT, STUCK = 80, 3
 #: One bucket in so many samples a second place: 1.25 on average, as many as a pair at the threshold needs to meet in one.
 SECOND = 4
 #: Sketch size, and the share of equal places from which a pair is looked at: four standard deviations below SIMILAR.
 SKETCH, PROMISING = 64, 0.6
-#: Sets of a block of an exact search; two blocks meet in one group.
-BLOCK = 128
+#: Sets of a block of an exact search, and bytes; two blocks meet in one group.
+BLOCK, BLOCK_BYTES = 128, 4 << 20
+#: Sketches of a block.
+SKETCH_BLOCK = 1024
 _WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.random.default_rng(5).integers(1, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,8 +118,8 @@ def _id_type(df: DataFrame, id_col: str) -> T.DataType:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> DataFrame:
-    """``id``; ``high, low``: digest of the set; ``sketch``; ``paths``: the buckets of the first level (none of an empty set)."""
-    schema = T.StructType([T.StructField("id", _id_type(df, id_col)), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType()))])
+    """``id``; ``high, low``: digest of the set; ``n_grams``: its size; ``sketch``; ``paths``: the buckets of the first level (none of an empty set)."""
+    schema = T.StructType([T.StructField("id", _id_type(df, id_col)), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("n_grams", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType()))])
     roots = np.arange(1, runs + 1, dtype=np.uint64)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,8 +129,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> Da
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)
                 own = sketch(grams)
                 paths = children(roots, np.broadcast_to(own, (runs, SKETCH)))[1].view(np.int64) if len(grams) else []
-                rows.append((high, low, own.tobytes(), paths))
-            out = pd.DataFrame(rows, columns=["high", "low", "sketch", "paths"])
+                rows.append((high, low, len(grams), own.tobytes(), paths))
+            out = pd.DataFrame(rows, columns=["high", "low", "n_grams", "sketch", "paths"])
             out.insert(0, "id", batch.iloc[:, 0].to_numpy())
             yield out
         give_back()
@@ -132,35 +139,77 @@ def sketches(df: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> Da
 
 
 def split(buckets: DataFrame) -> DataFrame:
-    """Rows ``path, rep, sketch`` on the next level."""
+    """Rows ``path, rep, sketch, before, stuck`` on the next level."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 marks = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), SKETCH)
                 rows, paths = children(batch["path"].to_numpy().view(np.uint64), marks)
-                yield pd.DataFrame({"path": paths.view(np.int64), "rep": batch["rep"].to_numpy()[rows], "sketch": batch["sketch"].to_numpy()[rows]})
+                yield pd.DataFrame({"path": paths.view(np.int64)} | {c: batch[c].to_numpy()[rows] for c in ("rep", "sketch", "before", "stuck")})
 
-    return buckets.mapInPandas(of, T.StructType([buckets.schema[c] for c in ("path", "rep", "sketch")]))
+    return buckets.mapInPandas(of, T.StructType([buckets.schema[c] for c in ("path", "rep", "sketch", "before", "stuck")]))
 
 
-def candidate_links(able: DataFrame, depth: int) -> DataFrame:
-    """``u, v`` of sets (``rep, sketch, paths``) that hang together: found similar in small buckets, or in one large bucket of the last level."""
+def levels(able: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Small buckets, and large ones that splitting leaves, of sets (``rep, sketch, paths``): rows ``path, rep, sketch, size, least``.
+
+    ``least``: smallest set of the bucket.
+    """
     sketched = able.select("rep", "sketch")
-    nodes = able.select(F.explode("paths").alias("path"), "rep")
+    nodes = able.select(F.explode("paths").alias("path"), "rep", F.lit(1 << 50).alias("before"), F.lit(0).alias("stuck"))
     small: list[DataFrame] = []
+    left: list[DataFrame] = []
     for level in range(1, depth + 1):
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
         shared = nodes.join(sizes, "path")
-        shared = written(shared if level > 1 else shared.join(sketched, "rep")).select("path", "rep", "sketch", "size", "head")
-        small.append(shared.where(F.col("size") <= SMALL))
+        shared = shared if level > 1 else shared.join(sketched, "rep")
+        again = F.when(F.col("size") * 100 >= F.col("before") * UNSPLIT, F.col("stuck") + 1).otherwise(0)
+        shared = written(shared.select("path", "rep", "sketch", "size", "least", again.alias("stuck")))
+        rows = ["path", "rep", "sketch", "size", "least"]
+        small.append(shared.where(F.col("size") <= SMALL).select(rows))
         large = shared.where(F.col("size") > SMALL)
-        if level == depth or large.isEmpty():
+        ends = F.lit(level == depth) | (F.col("stuck") >= STUCK)
+        left.append(large.where(ends).select(rows))
+        more = large.where(~ends)
+        if level == depth or more.isEmpty():
             break
-        nodes = written(split(large.select("path", "rep", "sketch")))  # counted, then joined with its counts
-    links = promising_links(reduce(DataFrame.unionAll, small).select("path", F.col("rep").alias("id"), "sketch"))
-    # What is still large after the last level is one candidate component: its members hang on the smallest of them.
-    return links.unionAll(large.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+        nodes = written(split(more.select("path", "rep", "sketch", F.col("size").alias("before"), "stuck")))  # counted, then joined with its counts
+    return reduce(DataFrame.unionAll, small), reduce(DataFrame.unionAll, left)
+
+
+def candidate_links(able: DataFrame, depth: int) -> DataFrame:
+    """``u, v`` of sets (``rep, sketch, paths``) whose sketches are alike, found in small buckets and in what is left of large ones."""
+    small, left = levels(able, depth)
+    links = promising_links(small.select("path", F.col("rep").alias("id"), "sketch"))
+    return links.unionAll(left_links(left))
+
+
+def left_links(left: DataFrame) -> DataFrame:
+    """``u, v``: of large buckets, sets like the smallest one with it, and the others with all that they are like."""
+    heads = left.where("rep = least").select("path", F.col("sketch").alias("head")).dropDuplicates(["path"])
+    rows = left.join(heads, "path").withColumn("near", _alike(F.col("sketch"), F.col("head")))
+    rows = written(rows.select("path", "rep", "sketch", "size", "least", "near"))
+    star = rows.where(F.col("near") & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    counts = rows.where(~F.col("near")).groupBy("path").agg(F.count("*").alias("others"))
+    blocks = lambda n: F.ceil(F.col(n) / SKETCH_BLOCK).cast("int")
+    met = rows.join(counts, "path").withColumn("at", F.xxhash64("rep"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    # Every block of the others meets every block of the bucket.
+    stay = met.select("path", F.pmod("at", blocks("size")).cast("int").alias("i"), upto("others").alias("j"), F.col("rep").alias("id"), "sketch", F.lit(False).alias("other"))
+    come = met.where(~F.col("near")).select("path", upto("size").alias("i"), F.pmod("at", blocks("others")).cast("int").alias("j"), F.col("rep").alias("id"), "sketch", F.lit(True).alias("other"))
+    return star.unionAll(promising_links(stay.unionAll(come), ["path", "i", "j"]))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two columns of sketches have as many equal places as a promising pair."""
+
+    @F.pandas_udf("boolean")
+    def told(x: pd.Series, y: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SKETCH) for s in (x, y))
+        return pd.Series((one == two).mean(1) >= PROMISING)
+
+    return told(a, b)
 
 
 def _roots(n: int, pairs: np.ndarray) -> list[int]:
@@ -203,18 +252,28 @@ def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(change), len(frame)]
 
 
-def promising_links(buckets: DataFrame) -> DataFrame:
-    """``u, v``: sets that brute force over small buckets (``path, id, sketch``) finds similar, as a forest per bucket."""
+def promising_links(buckets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``u, v``: sets that brute force over small buckets (``path, id, sketch``) finds alike, as a forest per bucket.
+
+    With a column ``other`` only pairs are tried of which one is an ``other`` and the second isn't.
+    """
+    keys, parted = keys or ["path"], "other" in buckets.columns
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _groups(batches, ["path"]):
+        for frame in _groups(batches, keys):
             marks = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(len(frame), SKETCH)
-            starts, found = _starts(frame, ["path"]), []
+            starts, found = _starts(frame, keys), []
             for a, b in zip(starts, starts[1:], strict=False):
-                i, j = np.triu_indices(b - a, 1)
-                near = (marks[a + i] == marks[a + j]).mean(1) >= PROMISING
-                if near.any():
+                if parted:
+                    other = frame["other"].to_numpy()[a:b]
+                    stay = np.flatnonzero(~other)
+                    near = [(np.full(n.sum(), k), stay[n]) for k in np.flatnonzero(other) if (n := (marks[a + k] == marks[a + stay]).mean(1) >= PROMISING).any()]
+                    pairs = np.stack([np.concatenate(x) for x in zip(*near, strict=True)], 1) if near else np.zeros((0, 2), np.int64)
+                else:
+                    i, j = np.triu_indices(b - a, 1)
+                    near = (marks[a + i] == marks[a + j]).mean(1) >= PROMISING
                     pairs = np.stack([i[near], j[near]], 1)
+                if len(pairs):
                     found += [(a + x, a + r) for x, r in enumerate(_roots(b - a, pairs)) if x != r]
             if found:
                 at = np.array(found)
@@ -223,7 +282,7 @@ def promising_links(buckets: DataFrame) -> DataFrame:
 
     kind = buckets.schema["id"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    return buckets.repartition("path").sortWithinPartitions("path").mapInPandas(search, schema)
+    return buckets.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, schema)
 
 
 def exact_links(blocks: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -294,12 +353,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     runs = runs_needed(depth, recall, similar)
     rows = written(sketches(in_small_batches(df), id_col, text_col, n, runs))
-    sets = rows.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    sets = rows.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     sets = written(sets)
     links = candidate_links(sets.where(F.col("rep").isNotNull()), depth)
     part = written(components(links))
-    parts = part.groupBy("component").agg(F.count("*").alias("size"))
-    placed = part.join(parts, "component").select(F.col("node").alias("id"), F.col("component").alias("part"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
+    part = part.join(sets.select(F.col("rep").alias("node"), "n_grams"), "node")
+    parts = part.groupBy("component").agg(F.count("*").alias("size"), F.sum("n_grams").alias("n_grams"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("n_grams") / BLOCK_BYTES)).cast("int")
+    placed = part.drop("n_grams").join(parts, "component").select(F.col("node").alias("id"), F.col("component").alias("part"), blocks.alias("n_blocks"))
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")))
     # Sets are made again where a row's id is marked, then joined: no text moves. A row that repeats counts once.
     able = told(df.select(q(id_col).alias("id"), q(text_col).alias("text")), marked(placed, "id"), [F.col("id")], "often").where("often")
