@@ -121,6 +121,32 @@ def test_ngram_join(spark, docs, monkeypatch, small, block):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got if r.doc_id is not None} == want
 
 
+@pytest.mark.parametrize(("stuck", "depth"), [(1, 8), (9, 2)])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, stuck, depth):
+    """Buckets that are never small: near copies hang on their smallest set, what isn't like it is compared in blocks."""
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "STUCK", stuck)
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
+    common = passage(31, 160)
+    rows = [(i, t) for i, t in enumerate(near_copies(25) + near_copies(25, 8, 60) + [f"{common} {x}" for x in near_copies(12, 9, 60)] + [f"{common} {passage(500 + k, 120)}" for k in range(20)])]
+    df = spark.createDataFrame([*rows, (3, rows[3][1]), (400, rows[30][1])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(df, depth=depth).collect()}
+    assert got == brute_classes(df.collect())
+
+
+def test_boilerplate_is_split_apart(spark):
+    """Five thousand different texts that share half of their words: none is compared exactly, and few are on sketches."""
+    n, common = 5000, passage(31, 120)
+    df = spark.createDataFrame([(i, f"{common} {passage(1000 + i, 120)}") for i in range(n)], "doc_id long, text string").repartition(4)
+    rows = ngram_join.sketches(df, "doc_id", "text", 5, ngram_join.runs_needed()).withColumnRenamed("id", "rep").cache()
+    small, left = ngram_join.levels(rows, ngram_join.DEPTH)
+    pairs = small.unionAll(left).select("path", "size").distinct().agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
+    assert pairs < 0.05 * ngram_join.runs_needed() * n * n / 2  # of what a run without splitting would compare
+    assert ngram_join.candidate_links(rows, ngram_join.DEPTH).count() < n / 50  # so hardly any is searched exactly
+    rows.unpersist()
+
+
 def test_ngram_join_empty(spark, docs):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
     assert ngram_join.ngram_join(docs.where("text is null")).count() == 1
