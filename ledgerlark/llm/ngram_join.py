@@ -198,7 +198,7 @@ def left_links(left: DataFrame) -> DataFrame:
     # Every block of the others meets every block of the bucket.
     stay = met.select("path", F.pmod("at", blocks("size")).cast("int").alias("i"), upto("others").alias("j"), F.col("rep").alias("id"), "sketch", F.lit(False).alias("other"))
     come = met.where(~F.col("near")).select("path", upto("size").alias("i"), F.pmod("at", blocks("others")).cast("int").alias("j"), F.col("rep").alias("id"), "sketch", F.lit(True).alias("other"))
-    return star.unionAll(promising_links(stay.unionAll(come), ["path", "i", "j"]))
+    return star.unionAll(promising_links(stay.unionAll(come), ["path", "i", "j"]).where("u <> v"))  # each of the others is in the bucket too
 
 
 def _alike(a: Column, b: Column) -> Column:
