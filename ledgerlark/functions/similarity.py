@@ -62,14 +62,7 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def ratio_udf(a: Column, b: Column) -> Column:
     """:func:`ratio` for many long pairs: Arrow batches to the bit-parallel form."""
     return F.pandas_udf(_ratios, "double")(a, b)
 
-
-def partial_ratio_udf(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_partial_ratios, "double")(a, b)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMAIL_SCHEMA = "email_id string, `from` string, subject string, body string, attachments array<string>"
 RESOLUTION_SCHEMA = "map<string,struct<decision:string,defect_fields:array<string>,corrections:struct<si:map<string,string>,bl:map<string,string>>,reviewer:string,note:string>>"
@@ -59,22 +63,30 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return as_list.unionByName(as_map.select("email_id", *[F.col("r")[c].alias(c) for c in names]))
 
 
-def latest_resolutions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old and new decisions as one table, the new one of a message counting."""
-    return new.unionByName(old.join(new, "email_id", "left_anti"))
-
-
 def unique_names(files: DataFrame, key: str = "upload_id") -> DataFrame:
-    """Rows ``key, pos, name`` with ``unique_name``: the n-th file of a name gets ``_n`` before its extension.
+    """Rows ``key, pos, name`` with ``unique_name``: the second file of a name gets ``_2`` before its extension, and so on.
 
-    A name made so that another file already has gets one underscore more, so no two files share one.
+    Names are given in the order of ``pos``, one upload after the other, and a task remembers those it has given in the
+    upload it is in; a number that would make a name given before is left out. So no two files of an upload share one.
     """
-    nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("pos"))
-    dotted = F.col("name").rlike(r"^(.+)\.([^.]*)$")
-    stem, ext = (F.regexp_extract("name", r"^(.+)\.([^.]*)$", k) for k in (1, 2))
-    made = F.when(F.col("n") == 1, F.col("name")).when(dotted, F.concat(stem, F.lit("_"), F.col("n").cast("string"), F.lit("."), ext)).otherwise(F.concat_ws("_", "name", F.col("n").cast("string")))
-    named = files.withColumn("n", nth).withColumn("made", made)
-    literal = named.where("n = 1").select(key, F.col("name").alias("made"), F.lit(True).alias("taken"))
-    clash = named.join(literal, [key, "made"], "left")
-    again = F.when((F.col("n") > 1) & F.col("taken"), F.concat(F.lit("_"), F.col("made"))).otherwise(F.col("made"))
-    return clash.select(*files.columns, again.alias("unique_name"))
+    names = [*files.columns, "unique_name"]
+    schema = T.StructType([*files.schema, T.StructField("unique_name", T.StringType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upload, given, next_ = object(), set(), {}
+        for batch in batches:
+            out = []
+            for own, name in zip(batch[key], batch["name"], strict=True):
+                if own != upload:
+                    upload, given, next_ = own, set(), {}
+                made, n = name, next_.get(name, 1)
+                stem, dot, ext = name.rpartition(".")
+                while made in given:
+                    n += 1
+                    made = f"{stem or name}_{n}.{ext}" if dot and ext else f"{name}_{n}"
+                next_[name] = n
+                given.add(made)
+                out.append(made)
+            yield batch.assign(unique_name=out)[names]
+
+    return files.repartition(key).sortWithinPartitions(key, "pos").mapInPandas(fold, schema)

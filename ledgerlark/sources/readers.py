@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import io
 import re
-import shutil
-import subprocess
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import IMAGE_EXTENSIONS
 from ..functions.text import extension, html_to_text, split_lines
 from ..operators.classify import detect_kind
+from ..operators.layout import cluster_rows, row_lines
 from .inbox import utf8_text
+from .pdf import Broken, pdf_words
 
 PACKED = "struct<fmt:string,lines:array<string>,passes:array<array<string>>,error:string,ocr:boolean>"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -66,21 +66,6 @@ def xlsx_lines(data: bytes) -> list[str]:
     return lines
 
 
-def pdf_lines(data: bytes) -> tuple[list[str], str | None, bool]:
-    """Lines of the text layer, what went wrong, and whether the pages are images. Needs the pdftotext program."""
-    if not data.startswith(b"%PDF"):
-        return [], "not a PDF (bad header)", False
-    if not shutil.which("pdftotext"):
-        return [], "TOOL MISSING: poppler 'pdftotext' is not installed / not on PATH", False
-    done = subprocess.run(["pdftotext", "-layout", "-", "-"], input=data, capture_output=True, timeout=60, check=False)
-    if done.returncode:
-        return [], "PDF could not be parsed (corrupt or truncated)", False
-    text = done.stdout.decode("utf-8", "replace")
-    if len(re.sub(r"\s", "", text)) < 40:
-        return [], "OCR failed: no OCR engine is installed", True
-    return text.splitlines(), None, False
-
-
 def read_packed(path: str, data: bytes) -> dict:
     """One attachment that isn't text; whatever goes wrong is told in ``error``."""
     ext = path.lower().rsplit(".", 1)[-1]
@@ -90,9 +75,6 @@ def read_packed(path: str, data: bytes) -> dict:
             lines = docx_lines(data)
         elif ext in ("xlsx", "xlsm"):
             fmt, lines = "xlsx", xlsx_lines(data)
-        elif ext == "pdf":
-            lines, error, ocr = pdf_lines(data)
-            fmt = "pdf_scan" if ocr else "pdf"
         elif ext in IMAGE_EXTENSIONS:
             fmt, error, ocr = "photo", "image could not be processed: no OCR engine is installed", True
         else:
@@ -108,6 +90,44 @@ def _packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         yield pd.DataFrame([read_packed(p, bytes(c)) for p, c in zip(paths, contents, strict=True)], columns=["fmt", "lines", "passes", "error", "ocr"])
 
 
+PAGES = "struct<pages:array<array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>,error:string>"
+#: A text layer of fewer letters is that of a scan.
+LEAST_LETTERS = 40
+
+
+def _page_words(contents: pd.Series) -> pd.DataFrame:
+    rows = []
+    for content in contents:
+        data = bytes(content)
+        try:
+            pages, error = (pdf_words(data), None) if data.startswith(b"%PDF") else ([], "not a PDF (bad header)")
+        except Broken:
+            pages, error = [], "PDF could not be parsed (corrupt or truncated)"
+        rows.append(([[dict(zip(("text", "x0", "y0", "x1", "y1"), w, strict=True)) for w in page] for page in pages], error))
+    return pd.DataFrame(rows, columns=["pages", "error"])
+
+
+def page_words(content: Column) -> Column:
+    """``pages, error``: words with boxes of each page of a PDF file, or what is wrong with it."""
+    return F.pandas_udf(_page_words, PAGES)(content)
+
+
+def read_pdfs(files: DataFrame) -> DataFrame:
+    """Rows ``email_id, pos, path, content`` of PDF files as documents: Python finds words, Spark their rows and lines.
+
+    A page without a text layer is a scan, and told as one: no OCR engine is installed.
+    """
+    words = files.withColumn("w", page_words(F.col("content"))).select("email_id", "pos", "path", "w.*")
+    lines = F.flatten(F.transform("pages", lambda page: row_lines(cluster_rows(page))))
+    read = words.select("email_id", "pos", "path", "error", lines.alias("lines"))
+    scan = F.col("error").isNull() & (F.length(F.regexp_replace(F.array_join("lines", ""), r"\s", "")) < LEAST_LETTERS)
+    none = F.array().cast("array<string>")
+    return read.select(
+        "email_id", "pos", "path", F.when(scan, "pdf_scan").otherwise("pdf").alias("fmt"), F.when(scan, none).otherwise(F.coalesce("lines", none)).alias("lines"), F.array().cast("array<array<string>>").alias("passes"),
+        F.when(scan, "OCR failed: no OCR engine is installed").otherwise(F.col("error")).alias("error"), scan.alias("ocr"),
+    )
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """``email_id, pos, path, fmt, kind, ocr, error, lines, passes`` of rows ``email_id, pos, path, content``.
 
@@ -116,9 +136,10 @@ def read_documents(files: DataFrame) -> DataFrame:
     files = files.withColumn("ext", extension(F.col("path")))
     none, no_passes = F.lit(None).cast("string"), F.array().cast("array<array<string>>")
     text = files.where("content is not null and ext = 'txt'").select("email_id", "pos", "path", F.lit("txt").alias("fmt"), split_lines(utf8_text(F.col("content"))).alias("lines"), no_passes.alias("passes"), none.alias("error"), F.lit(False).alias("ocr"))
-    packed = files.where("content is not null and ext <> 'txt'").select("email_id", "pos", "path", F.pandas_udf(_packed, PACKED)("path", "content").alias("d")).select("email_id", "pos", "path", "d.*")
+    pdfs = read_pdfs(files.where("content is not null and ext = 'pdf'"))
+    packed = files.where("content is not null and ext not in ('txt', 'pdf')").select("email_id", "pos", "path", F.pandas_udf(_packed, PACKED)("path", "content").alias("d")).select("email_id", "pos", "path", "d.*")
     missing = files.where("content is null").select("email_id", "pos", "path", F.col("ext").alias("fmt"), F.array().cast("array<string>").alias("lines"), no_passes.alias("passes"), F.lit("file could not be found").alias("error"), F.lit(False).alias("ocr"))
-    docs = text.unionByName(packed).unionByName(missing)
+    docs = text.unionByName(pdfs).unionByName(packed).unionByName(missing)
     return docs.withColumn("kind", F.when(F.col("error").isNotNull(), "UNREADABLE").otherwise(detect_kind(F.col("lines"))))
 
 
