@@ -11,13 +11,17 @@ from .. import constants as K
 from ..functions import normalise as N
 from ..functions import similarity as S
 from ..functions import text as X
+from ..functions.lenient import json_object
 from ..operators import classify as C
 from ..operators import compare as M
 from ..operators import extract as E
-from ..operators import layout, quality
+from ..operators import dashboard, layout, quality
 from ..operators import report as R
+from ..sources.documents import with_ordinals
 from ..sources.inbox import unique_names
+from ..sources.readers import read_pdfs
 from ..sources.tables import read_table
+from ..sources.uploads import read_uploads
 from . import bridge, reconcile
 from . import twins as T
 
@@ -120,10 +124,16 @@ def canon_ports(spark: SparkSession, folder: str) -> DataFrame:
     return bridge.run(spark, folder, _PORTS).select(F.col("x").alias("raw"), port["place"].alias("place"), port["country"].alias("country"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({T.text(a)}, {T.text(b)})" for a, b in {**K.PORT_ALIASES, **K.COUNTRY_ALIASES}.items()) + ") t(alias, canon)")
+_ALIASES = list({**K.PORT_ALIASES, **K.COUNTRY_ALIASES})
+_ALIASED = f"SELECT o_orderkey, {T.lookup(f'CAST(o_orderkey % {len(_ALIASES) + 3} AS STRING)', {str(i): a for i, a in enumerate(_ALIASES)})} AS alias FROM {{orders}}"
+
+
+@query(f"SELECT alias, coalesce({T.lookup('alias', {**K.COUNTRY_ALIASES, **K.PORT_ALIASES})}, alias) AS canon, count(*) AS n FROM (SELECT coalesce(alias, 'ELSEWHERE') AS alias FROM ({_ALIASED}) a) b GROUP BY 1, 2")
 def port_alias_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    aliases = spark.createDataFrame([(a,) for a in (*K.PORT_ALIASES, *K.COUNTRY_ALIASES)], "alias string")
-    return aliases.select("alias", F.coalesce(N.lookup(F.col("alias"), K.PORT_ALIASES), N.lookup(F.col("alias"), K.COUNTRY_ALIASES)).alias("canon"))
+    """The alias that an order's key picks, or none, by its usual name."""
+    picked = bridge.run(spark, folder, _ALIASED).groupBy(F.coalesce("alias", F.lit("ELSEWHERE")).alias("alias")).agg(F.count("*").alias("n"))
+    known = F.coalesce(N.lookup(F.col("alias"), K.PORT_ALIASES), N.lookup(F.col("alias"), K.COUNTRY_ALIASES), F.col("alias"))
+    return picked.select("alias", known.alias("canon"), "n")
 
 
 _COUNTS = """SELECT l_orderkey, CASE l_linenumber % 6 WHEN 0 THEN concat(CAST(l_quantity AS BIGINT), ' x 40''HC') WHEN 1 THEN concat(CAST(l_quantity AS BIGINT), ' X 40HC + ', l_linenumber, ' x 20GP')
@@ -522,7 +532,7 @@ def row_sum_variance(spark: SparkSession, folder: str) -> DataFrame:
 def json_resolution_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions out of model text around a JSON object; text without one is broken."""
     raw = bridge.run(spark, folder, """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Sure: {"decision": "OK", "note": "x"} done' WHEN 1 THEN '{"note": "only"}' ELSE 'no object here' END AS said FROM {events}""".replace('{"', "{{\"").replace('"}', "\"}}"))
-    found = F.from_json(F.nullif(F.regexp_extract("said", r"(?s)(\{.*\})", 1), F.lit("")), "decision string, note string")
+    found = F.from_json(json_object(F.col("said")), "decision string, note string")
     return raw.select("event_id", found["decision"].alias("decision"), found.isNull().alias("broken"))
 
 
@@ -573,3 +583,113 @@ def set_distinct(spark: SparkSession, folder: str) -> DataFrame:
 def submission_rows(spark: SparkSession, folder: str) -> DataFrame:
     report = _pairs(spark, folder).select(F.col("k").cast("string").alias("email_id"), F.lit("BL_COMPARISON").alias("category"), F.lit("done").alias("processing"), "r.*")
     return R.submission(report).withColumn("defects", F.array_join("defect_fields", ",")).drop("defect_fields")
+
+
+_WORDS_OF = "filter(transform(split(line, ' '), (w, i) -> named_struct('text', w, 'x0', CAST(length(array_join(slice(split(line, ' '), 1, i), ' ')) + least(i, 1) AS DOUBLE), 'y0', CAST(line_no * 10 AS DOUBLE), 'x1', CAST(length(array_join(slice(split(line, ' '), 1, i + 1), ' ')) AS DOUBLE), 'y1', CAST(line_no * 10 + 8 AS DOUBLE))), w -> w.text <> '')"
+_AFTER_LABEL = "regexp_replace(line, '^.*?(: |  )', '')"
+
+
+@query(
+    f"""WITH l AS MATERIALIZED ({bridge.LINES_TWIN}), w AS (SELECT doc_id, {T.lookup('CAST(line_no AS VARCHAR)', {str(n): f for n, f in bridge.FIELD_LINES.items()})} AS field, line_no, line, {_AFTER_LABEL} AS value FROM l)
+    SELECT doc_id, field, concat(CASE WHEN field = 'notify_party' THEN 'Party ' ELSE '' END, CASE WHEN value = '' THEN trim(line) ELSE regexp_replace(trim(value), ' +', ' ', 'g') END) AS text, CAST(CASE WHEN field = 'notify_party' THEN 7 WHEN value = '' THEN 0 ELSE length(line) - length(value) END AS DOUBLE) AS x0, CAST(line_no * 10 AS DOUBLE) AS y0, CAST(length(rtrim(line)) AS DOUBLE) AS x1 FROM w WHERE field IS NOT NULL"""
+)
+def evidence_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a page of words; the box of each field's value on it.
+
+    A window has a word less than the value at least, names being two words each once normal, so that of a party which
+    acts for another takes in the end of its label.
+    """
+    lines = bridge.lines(spark, folder)
+    field = F.create_map(*[F.lit(x) for pair in bridge.FIELD_LINES.items() for x in pair])
+    wanted = lines.select("doc_id", F.try_element_at(field, F.col("line_no")).alias("field"), F.col("line").alias("evidence"), F.expr(_AFTER_LABEL).alias("value")).where("field is not null")
+    words = lines.select("doc_id", "line_no", F.expr(_WORDS_OF).alias("words"))
+    pages = words.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "words"))), lambda x: x["words"])).alias("words")).withColumn("page", F.lit(1))
+    return layout.locate(wanted, pages, ["doc_id"]).select("doc_id", "field", "text", "box.x0", "box.y0", "box.x1")
+
+
+@query(f"SELECT email_id, row_number() OVER (ORDER BY email_id) - 1 AS ord FROM ({bridge.EMAILS}) e")
+def inbox_ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    return with_ordinals(bridge.run(spark, folder, bridge.EMAILS).select("email_id"), ["email_id"])
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS a, string_agg(concat(turn, chr(58), text), chr(10) ORDER BY turn) AS b FROM {conversations} WHERE text IS NOT NULL GROUP BY conv_id")
+def photo_pages_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """A conversation as a document, its turns as pages that were read twice."""
+    turns = read_table(spark, folder, "conversations").where("text is not null")
+    pages = turns.select(F.col("conv_id").alias("email_id"), F.lit(0).alias("pos"), F.col("turn").alias("page"), F.array("text").alias("a"), F.array(F.concat(F.col("turn").cast("string"), F.lit(":"), "text")).alias("b"))
+    read = quality.joined_pages(pages).where("error is null")
+    return read.select(F.col("email_id").alias("conv_id"), *[F.array_join(F.get("passes", F.lit(i)), "\n").alias(c) for i, c in enumerate("ab")])
+
+
+_MAIL = "concat('From: a@b.example', chr(10), 'Subject: S', conv_id, chr(10), 'MIME-Version: 1.0', chr(10), 'Content-Type: multipart/mixed; boundary=\"x\"', chr(10), chr(10), '--x', chr(10), 'Content-Type: text/plain', chr(10), chr(10), 'Hello', chr(10), '--x', chr(10), 'Content-Type: text/plain', chr(10), 'Content-Disposition: attachment; filename=\"note.txt\"', chr(10), chr(10), 'SI ', conv_id, chr(10), '--x--', chr(10))"
+_UPLOADS = f"SELECT conv_id AS upload_id, CAST(turn AS INT) AS pos, CASE WHEN turn % 4 = 1 THEN 'mail.eml' ELSE 'note.txt' END AS name, CAST(CASE WHEN turn % 4 = 1 THEN {_MAIL} ELSE concat('turn ', turn) END AS BINARY) AS content FROM {{conversations}}"
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, turn % 4 = 1 AS mail, row_number() OVER (PARTITION BY conv_id, turn % 4 = 1 ORDER BY turn) AS nth FROM {conversations}),
+    d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY mail DESC, turn) AS n, CASE WHEN mail THEN concat('SI ', conv_id) ELSE concat('turn ', turn) END AS text FROM c WHERE NOT mail OR nth = 1)
+    SELECT conv_id AS upload_id, CAST(n - 1 AS INT) AS pos, CASE WHEN n = 1 THEN 'note.txt' ELSE concat('note_', n, '.txt') END AS path, text FROM d"""
+)
+def upload_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as uploads: every fourth turn a message with a file, the others loose files of the same name."""
+    _, docs = read_uploads(bridge.run(spark, folder, _UPLOADS))
+    return docs.select(F.col("email_id").alias("upload_id"), "pos", "path", F.trim(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit(""))).alias("text"))
+
+
+_PDF = """SELECT CAST(s_suppkey AS STRING) AS email_id, 0 AS pos, 'a.pdf' AS path, CAST(concat('%PDF-1.4', chr(10), '1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj', chr(10), '2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj', chr(10),
+  '3 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >> endobj', chr(10), '5 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Courier >> endobj', chr(10),
+  '4 0 obj << >> stream', chr(10), 'BT /F1 10 Tf 14 TL 50 700 Td (SHIPPING INSTRUCTION) Tj T* [(Ship) 0 (per: ) 0 (', s_name, ')] TJ 1 0 0 1 60 672 Tm (Street ', s_suppkey, ') Tj ET', chr(10), 'endstream endobj', chr(10), 'trailer << /Root 1 0 R >>') AS BINARY) AS content FROM {supplier}"""
+
+
+@query("SELECT s_suppkey, CASE n WHEN 0 THEN 'SHIPPING INSTRUCTION' WHEN 1 THEN concat('Shipper: ', s_name) ELSE concat('  Street ', s_suppkey) END AS line, n FROM {supplier}, (VALUES (0), (1), (2)) v(n)")
+def pdf_text_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a PDF file of each supplier, its cross-reference table missing."""
+    docs = read_pdfs(bridge.run(spark, folder, _PDF))
+    return docs.select(F.col("email_id").cast("long").alias("s_suppkey"), F.posexplode("lines").alias("n", "line"))
+
+
+@query("SELECT o_orderkey, CAST(greatest(ceil(o_orderkey % 95 / 10.0), 1) AS INT) AS pages, CAST(least(greatest(o_orderkey % 13 - 1, 1), greatest(ceil(o_orderkey % 95 / 10.0), 1)) AS INT) AS page FROM {orders}")
+def page_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    rows, asked = F.col("o_orderkey") % 95, F.col("o_orderkey") % 13 - 1
+    return read_table(spark, folder, "orders").select("o_orderkey", dashboard.page_count(rows, K.REVIEW_PAGE).alias("pages"), dashboard.page_shown(asked, rows, K.REVIEW_PAGE).alias("page"))
+
+
+_RUN = f"SELECT email_id, {_CATEGORY} AS category, CASE WHEN n = 11 THEN 'FAILED' ELSE 'done' END AS processing FROM ({bridge.EMAILS}) e"
+
+
+def _processed(spark: SparkSession, folder: str) -> DataFrame:
+    emails = bridge.run(spark, folder, bridge.EMAILS)
+    about = C.classify(F.col("body"), F.col("subject"), F.col("n_attachments"), F.lit(None).cast("array<string>"))
+    return emails.select("email_id", about["category"].alias("category"), F.when(F.col("n") == 11, "FAILED").otherwise("done").alias("processing"))
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT category) AS n_categories, count(*) FILTER (processing = 'FAILED') AS n_failed FROM ({_RUN}) r")
+def dashboard_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.totals(_processed(spark, folder))
+
+
+@query(f"SELECT email_id FROM ({_RUN}) r WHERE processing = 'FAILED'")
+def failed_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.failed_ids(_processed(spark, folder))
+
+
+@query(_V + "SELECT k, bool_or(verdict = 'missing') AS waits FROM v GROUP BY k")
+def any_missing_field(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select("k", dashboard.any_field(F.col("fields"), lambda f: f["verdict"] == "missing").alias("waits"))
+
+
+@query(_V + "SELECT k, CAST(ord + 1 AS INT) AS number, field, verdict, bl AS value FROM v WHERE bl <> ''")
+def page_items(spark: SparkSession, folder: str) -> DataFrame:
+    """What can be marked on the pages of the bill."""
+    return dashboard.side_items(_pairs(spark, folder), "bl", ["k"]).select("k", "number", "field", "verdict", "value")
+
+
+@query("SELECT doc_id, substring(source, 1, 70) AS subject, substring(text, 1, 4000) AS body FROM {documents}")
+def shown_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.short_texts(read_table(spark, folder, "documents").select("doc_id", F.col("source").alias("subject"), F.col("text").alias("body")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey / 8.0 WHEN c_custkey % 4 = 1 THEN 0.5 ELSE CAST(c_custkey AS DOUBLE) END AS confidence FROM {customer}")
+def safe_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    said = F.expr("CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey / 8.0D AS STRING) WHEN 1 THEN 'high' ELSE concat(' ', c_custkey, ' ') END")
+    return read_table(spark, folder, "customer").select("c_custkey", dashboard.number_or(said, 0.5).alias("confidence"))

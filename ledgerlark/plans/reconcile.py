@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import FIELDS
 from ..functions.text import base_name
 from ..operators import report as R
 from ..operators.classify import classify, classify_upload
 from ..operators.compare import RESULT_TYPE, compare_documents, roll_up, scanned_values, snapped, vocabulary
-from ..operators.extract import extract
+from ..operators.extract import FIELD_TYPE, extract
+from ..sources.documents import with_ordinals, write_json_document, write_lines
 from ..sources.inbox import attached_files, read_emails, read_files
 from ..sources.readers import read_documents
 from ..sources.shared import written
@@ -49,7 +51,9 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     """The report. ``docs`` as :func:`read_documents` gives them; ``resolutions`` as read by their reader; ``entries``: the
     vocabulary (see :func:`entries_of`) that names and places of scanned documents are snapped to, none by default.
 
-    Three shuffles by message: its documents' summaries, its two documents' fields, and what people decided.
+    Shuffles by message: its documents' summaries, their fields, and what people decided. Where documents can't be
+    compared, ``prefill`` has what was read of them. Of an upload for which a person entered all fourteen values these
+    are compared, whatever its documents are.
     """
     if "broken" not in emails.columns:
         emails = emails.withColumn("broken", F.lit(None).cast("string"))
@@ -60,11 +64,11 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     rows = emails.withColumn("documents", documents).withColumn("c", found).withColumn("stop", guard(documents))
     rows = rows.select("email_id", "from", "subject", "body", "attachments", "documents", "broken", "c.category", "c.confidence", F.col("c.reason").alias("reason"), "stop")
 
-    ready = rows.where("category = 'BL_COMPARISON' and stop is null").select("email_id")
+    ready = rows.where("category = 'BL_COMPARISON'").select("email_id")
     read = extract(docs.join(ready, "email_id", "left_semi"))
     side = F.struct("fields", "pass_fields", F.coalesce("ocr", F.lit(False)).alias("ocr"), "lines", "kind", "pos")
     pairs = read.groupBy("email_id").agg(*[F.max_by(F.when(F.col("kind") == k, side), F.when(F.col("kind") == k, F.lit(1))).alias(k.lower()) for k in ("SI", "BL")])
-    rows = rows.join(pairs, "email_id", "left")
+    rows = rows.join(pairs, "email_id", "left").join(prefill(read), "email_id", "left")
     decided = ["decision", "reviewer", "note"]
     if resolutions is not None:
         rows = rows.join(resolutions.withColumnRenamed("defect_fields", "decided_fields"), "email_id", "left")
@@ -72,6 +76,14 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
     else:
         rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in decided], F.lit(None).cast("array<string>").alias("decided_fields"))
         corrections = None
+    manual = F.lit(False)
+    if upload and corrections is not None:
+        whole = lambda side: F.size(F.array_intersect(F.map_keys(F.col("corrections")[side]), F.array(*map(F.lit, FIELDS)))) == len(FIELDS)
+        manual = (F.col("category") == "BL_COMPARISON") & F.coalesce(whole("si") & whole("bl"), F.lit(False))
+    rows = rows.withColumn("manual", manual).withColumn("stop", F.when(~F.col("manual"), F.col("stop")))
+    entered = lambda kind: F.struct(F.create_map().cast(f"map<string,{FIELD_TYPE}>").alias("fields"), F.lit(None).cast(f"array<map<string,{FIELD_TYPE}>>").alias("pass_fields"), F.lit(False).alias("ocr"), F.array().cast("array<string>").alias("lines"), F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("pos"))
+    for kind in ("SI", "BL"):
+        rows = rows.withColumn(kind.lower(), F.when(F.col("manual"), entered(kind)).when(F.col("stop").isNull(), F.col(kind.lower())))
     compared = F.col("si").isNotNull() & F.col("bl").isNotNull()
     if entries is not None:
         rows = rows.join(snapped(scanned_values(read, resolutions), entries), "email_id", "left")
@@ -96,6 +108,7 @@ def reconcile(emails: DataFrame, docs: DataFrame, resolutions: DataFrame | None
         "fields", F.when(gated, F.col("documents")).otherwise(F.slice("documents", 1, 0)).alias("documents"),
         F.when(compared, F.col("si.pos") != 0).alias("swapped_attachment_order"),
         F.when(touched, F.coalesce("reviewer", F.lit("human"))).alias("resolved_by"), F.when(touched, F.col("note")).alias("resolution_note"),
+        F.when(gated & stopped, F.col("prefill")).alias("prefill"), F.col("manual").alias("manual_entry"),
     )
 
 
@@ -116,12 +129,34 @@ def reconcile_uploads(uploads: DataFrame, docs: DataFrame, roles: DataFrame | No
     return reconcile(base, docs if roles is None else with_roles(docs, roles), resolutions, upload=True, entries=entries)
 
 
-def reconcile_folder(spark: SparkSession, root: str, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL") -> DataFrame:
+#: Columns of a report, as they are read again when some messages are retried.
+REPORT_SCHEMA = (
+    "email_id string, `from` string, subject string, body string, processing string, error string, category string, confidence double, reason string, status string, review_reason string, review_detail string, "
+    f"has_defect boolean, defect_fields array<string>, fields array<{RESULT_TYPE}>, documents array<struct<pos:int,path:string,format:string,kind:string,ocr:boolean,error:string>>, "
+    "swapped_attachment_order boolean, resolved_by string, resolution_note string, prefill map<string,map<string,string>>, manual_entry boolean"
+)
+
+
+def read_inbox(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Messages, their documents, and the vocabulary for scans among them (None where there is no readable scan)."""
     emails = read_emails(spark, root)
     # Stored, as files would be parsed again for the summaries, the fields and the vocabulary.
     docs = written(read_documents(attached_files(emails, read_files(spark, root))))
     scans = not docs.where("ocr and error is null").isEmpty()  # without any the vocabulary would be of no use
-    return reconcile(emails, docs, resolutions, ask_send_as, entries=entries_of(docs) if scans else None)
+    return emails, docs, entries_of(docs) if scans else None
+
+
+def reconcile_folder(spark: SparkSession, root: str, resolutions: DataFrame | None = None, ask_send_as: str = "GENERAL", prior: DataFrame | None = None, retry: list[str] | None = None) -> DataFrame:
+    """The report of an inbox. With ``retry`` only of those messages, and of those that ``prior`` doesn't have, ``prior`` having the rest.
+
+    Scans are snapped to what the whole inbox states, whatever is retried.
+    """
+    emails, docs, entries = read_inbox(spark, root)
+    if prior is None or retry is None:
+        return reconcile(emails, docs, resolutions, ask_send_as, entries=entries)
+    again = retry_ids(emails, prior, retry)
+    fresh = reconcile(again, docs.join(again.select("email_id"), "email_id", "left_semi"), resolutions, ask_send_as, entries=entries)
+    return merged_report(emails, prior, fresh)
 
 
 def retry_ids(emails: DataFrame, prior: DataFrame, asked: list[str]) -> DataFrame:
@@ -136,11 +171,16 @@ def merged_report(emails: DataFrame, prior: DataFrame, fresh: DataFrame) -> Data
     return fresh.unionByName(kept, allowMissingColumns=True).join(emails.select("email_id"), "email_id", "left_semi")
 
 
-def write_outputs(report: DataFrame, folder: str) -> None:
-    """Report, review queue and submission as JSON lines, and the report for people as one text file."""
+def write_outputs(report: DataFrame, folder: str, emails: DataFrame | None = None, resolutions: DataFrame | None = None) -> None:
+    """``report.json`` and ``review_queue.json`` (arrays), ``submission.json`` (an object by message) and ``report.md``.
+
+    All in the inbox's order: that of the files of ``emails``, or of ids without them. ``report`` should be stored.
+    """
     folder = folder.rstrip("/")
-    report.drop("body").write.mode("overwrite").json(f"{folder}/report")
-    R.review_queue(report).write.mode("overwrite").json(f"{folder}/review_queue")
-    R.submission(report).write.mode("overwrite").json(f"{folder}/submission")
-    lines = R.report_lines(report).orderBy("ord", "line").select("line")
-    lines.coalesce(1).write.mode("overwrite").text(f"{folder}/report_md")
+    files = emails.select("email_id", "file") if emails is not None else report.select("email_id", F.col("email_id").alias("file"))
+    ordered = with_ordinals(report.join(files.dropDuplicates(["email_id"]), "email_id", "left"), ["file", "email_id"], "place").drop("ord")
+    order, hidden = ["file", "email_id"], ("file", "place")
+    write_json_document(ordered.drop("body"), f"{folder}/report.json", order, hidden=hidden)
+    write_json_document(R.review_queue(ordered, resolutions), f"{folder}/review_queue.json", order, hidden=hidden)
+    write_json_document(R.submission(ordered), f"{folder}/submission.json", order, key="email_id", hidden=hidden)
+    write_lines(R.report_lines(ordered), f"{folder}/report.md")

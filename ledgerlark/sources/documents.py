@@ -54,15 +54,22 @@ def _joined(spark: SparkSession, parts: str, target: str) -> None:
     fs.delete(home, True)
 
 
-def write_json_document(df: DataFrame, path: str, order: list[str], key: str | None = None) -> None:
+def write_lines(df: DataFrame, path: str) -> None:
+    """Writes the column ``line`` of ``df`` to the file ``path``, in the order of ``ord``."""
+    parts = f"{path}-{uuid.uuid4().hex}"
+    df.repartitionByRange("ord").sortWithinPartitions("ord").select(F.col("line").alias("value")).write.text(parts)
+    _joined(df.sparkSession, parts, path)
+
+
+def write_json_document(df: DataFrame, path: str, order: list[str], key: str | None = None, hidden: tuple[str, ...] = ()) -> None:
     """Writes ``df`` to the file ``path``: an array of its rows as objects, or with ``key`` an object of the other columns by key.
 
-    Nulls are written. Rows stand in the order of ``order``; columns named ``ord`` are left out. An empty table is an
-    empty array or object.
+    Nulls are written, ``hidden`` columns are not. Rows stand in the order of ``order``. An empty table is an empty array
+    or object.
     """
     spark = df.sparkSession
     rows = with_ordinals(df, order)
-    shown = [c for c in df.columns if c not in ("ord", key)]
+    shown = [c for c in df.columns if c not in ("ord", key, *hidden)]
     body: Column = F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown]), {"ignoreNullFields": "false"})
     if key is not None:
         quoted = F.to_json(F.array(F.col(key).cast("string")))
@@ -70,9 +77,4 @@ def write_json_document(df: DataFrame, path: str, order: list[str], key: str | N
     n = rows.count()
     opened, closed = ("[", "]") if key is None else ("{", "}")
     line = F.concat(F.when(F.col("ord") == 0, opened + "\n").otherwise(""), body, F.when(F.col("ord") == n - 1, "\n" + closed).otherwise(","))
-    parts = f"{path}-{uuid.uuid4().hex}"
-    if n:
-        rows.repartitionByRange("ord").sortWithinPartitions("ord").select(line.alias("value")).write.text(parts)
-    else:
-        spark.createDataFrame([(opened + closed,)], "value string").coalesce(1).write.text(parts)
-    _joined(spark, parts, path)
+    write_lines(rows.select("ord", line.alias("line")) if n else spark.createDataFrame([(0, opened + closed)], "ord long, line string"), path)

@@ -14,13 +14,13 @@ RESOLUTION_SCHEMA = "map<string,struct<decision:string,defect_fields:array<strin
 
 
 def read_emails(spark: SparkSession, root: str) -> DataFrame:
-    """One row per message file of ``root``/inbox. A directory with a filter, as a glob would list every file apart.
+    """One row per message file of ``root``/inbox, with the file's name: the inbox's order is that of ``file``.
 
-    A file that isn't such a message keeps its text in ``broken``, and its name as its id.
+    A directory with a filter, as a glob would list every file apart. A file that isn't such a message keeps its text in ``broken``, and its name as its id.
     """
     files = spark.read.schema(f"{EMAIL_SCHEMA}, broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "email_*.json")
     name = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
-    return files.json(f"{root.rstrip('/')}/inbox").withColumn("email_id", F.coalesce("email_id", name))
+    return files.json(f"{root.rstrip('/')}/inbox").withColumn("email_id", F.coalesce("email_id", name)).withColumn("file", F.col("_metadata.file_name"))
 
 
 def attachments(emails: DataFrame) -> DataFrame:

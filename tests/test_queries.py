@@ -10,7 +10,7 @@ import __spark_entry__
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.001")
-SOME = "ship_status ship_defect_counts canon_names canon_ports container_parse weight_parse email_classify field_extract_fold doc_kind html_to_text prior_upsert quality_rules ocr_consensus evidence_best_line".split()
+SOME = "ship_status ship_defect_counts canon_names canon_ports container_parse weight_parse email_classify field_extract_fold doc_kind html_to_text prior_upsert quality_rules ocr_consensus evidence_best_line snap_names_top1 snap_places_top1 lcs_ratio port_alias_lookup json_resolution_parse dup_filenames evidence_boxes inbox_ordinals photo_pages_joined upload_documents pdf_text_lines page_numbers dashboard_totals failed_messages page_items safe_numbers".split()
 
 
 def plain(value):
