@@ -46,6 +46,7 @@ def container_count(c: Column) -> Column:
     return F.when(F.size(pairs) > 0, total).otherwise(F.coalesce(first, lookup(word, NUMBER_WORDS).cast("long")))
 
 
+#: Fixed value: a number run and a unit of weight.
 _WEIGHT = r"(\d[\d.,\s]*)\s*(KGS?|MTS?|TONS?|TONNES?|T|LBS?)?\b"
 
 

@@ -69,7 +69,7 @@ def escape_html(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Without scripts, styles and tags; block ends are line breaks. Entities stay."""
+    """Without scripts, styles and tags; block ends are line breaks. Entities stay. The patterns are fixed values."""
     out = F.regexp_replace(c, r"(?is)<(script|style).*?</\1>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
     return F.regexp_replace(out, "<[^>]+>", " ")
@@ -89,8 +89,8 @@ def html_to_text(c: Column) -> Column:
 
 
 def reply_subject(c: Column) -> Column:
-    """``RE: `` before the subject, whatever reply marks it had."""
-    plain = F.when(F.coalesce(c, F.lit("")) == "", "Shipping document check").otherwise(c)
+    """``RE: `` before the subject, whatever reply marks it had (a fixed value)."""
+    plain = F.when(F.coalesce(c, F.lit("")) == "", "Your shipping documents").otherwise(c)
     return F.concat(F.lit("RE: "), F.regexp_replace(plain, r"(?i)^\s*((re|fw|fwd)\s*[:_]\s*)+", ""))
 
 

@@ -16,6 +16,7 @@ from .dealing import dealt
 
 FIELD_TYPE = "struct<raw:string,block:array<string>,blank:boolean,evidence:string,wrapped:boolean>"
 HIT_TYPE = "struct<field:string,value:string>"
+#: What a scanned line must look like to have a label, and a column's head that is none.
 _SCANNED_LABEL = re.compile(r"^\W?([A-Za-z][A-Za-z ]{1,28}?)\s*[:.,;|]\s*(.*)$")
 _COLUMN_HEAD = re.compile(r"(?i)\s*container\s*(no|num|#)")
 

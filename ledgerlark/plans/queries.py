@@ -18,7 +18,7 @@ from ..operators import extract as E
 from ..operators import dashboard, layout, quality
 from ..operators import report as R
 from ..sources.documents import with_ordinals
-from ..sources.inbox import unique_names
+from ..sources.inbox import attachments, unique_names
 from ..sources.readers import read_pdfs
 from ..sources.tables import read_table
 from ..sources.uploads import read_uploads
@@ -258,8 +258,10 @@ def field_extract_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT email_id, pos, concat('attachments/', email_id, '_', pos, '.txt') AS path FROM ({bridge.EMAILS}) e JOIN (VALUES (0), (1)) p(pos) ON pos < n_attachments")
 def attachment_explode(spark: SparkSession, folder: str) -> DataFrame:
-    emails = bridge.run(spark, folder, bridge.EMAILS).where("n_attachments > 0")
-    return emails.select("email_id", F.explode(F.sequence(F.lit(0), F.col("n_attachments") - 1)).alias("pos")).withColumn("path", F.concat(F.lit("attachments/"), "email_id", F.lit("_"), F.col("pos").cast("string"), F.lit(".txt")))
+    emails = bridge.run(spark, folder, bridge.EMAILS)
+    path = lambda i: F.concat(F.lit("attachments/"), F.col("email_id"), F.lit("_"), i.cast("string"), F.lit(".txt"))
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_attachments") - 1, F.lit(0))), path)
+    return attachments(emails.withColumn("attachments", F.when(F.col("n_attachments") > 0, some)))
 
 
 @query(f"SELECT email_id, n_attachments FROM ({bridge.EMAILS}) e WHERE {_CATEGORY} = 'BL_COMPARISON' AND n_attachments < 2")
@@ -519,13 +521,14 @@ def retake_flag(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_type, round(quantile_cont(value, 0.995), 6) AS p995, round(quantile_cont(value, 0.8), 6) AS p80, round(quantile_cont(value, 0.6), 6) AS p60, round(quantile_cont(value, 0.02), 6) AS p2 FROM {events} GROUP BY event_type")
 def metric_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     points = {"p995": 0.995, "p80": 0.8, "p60": 0.6, "p2": 0.02}
-    return read_table(spark, folder, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(k) for k, p in points.items()])
+    found = quality.rank_points(read_table(spark, folder, "events"), "event_type", "value", points)
+    return found.select("event_type", *[F.round(k, 6).alias(k) for k in points])
 
 
 @query("SELECT l_returnflag, round(var_pop(q), 4) AS variance FROM (SELECT l_returnflag, l_orderkey, sum(l_quantity) AS q FROM {lineitem} GROUP BY 1, 2) s GROUP BY 1")
 def row_sum_variance(spark: SparkSession, folder: str) -> DataFrame:
-    sums = read_table(spark, folder, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    return sums.groupBy("l_returnflag").agg(F.round(F.var_pop("q"), 4).alias("variance"))
+    found = quality.sum_variance(read_table(spark, folder, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity")
+    return found.select("l_returnflag", F.round("variance", 4).alias("variance"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'OK' WHEN event_id % 3 = 1 THEN NULL END AS decision, event_id % 3 = 2 AS broken FROM {events}")
@@ -693,3 +696,27 @@ def shown_texts(spark: SparkSession, folder: str) -> DataFrame:
 def safe_numbers(spark: SparkSession, folder: str) -> DataFrame:
     said = F.expr("CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey / 8.0D AS STRING) WHEN 1 THEN 'high' ELSE concat(' ', c_custkey, ' ') END")
     return read_table(spark, folder, "customer").select("c_custkey", dashboard.number_or(said, 0.5).alias("confidence"))
+
+
+_READINGS = "SELECT event_id % 50 AS photo, CAST((event_id % 4) * 90 AS INT) AS rotation, CAST((event_id * 7 + event_id % 50 * event_id % 4) % 40 - 8 AS DOUBLE) AS confidence FROM {events}"
+
+
+@query(f"SELECT photo, CAST(CASE WHEN mean >= 12 THEN rotation ELSE 0 END AS INT) AS rotation FROM (SELECT photo, rotation, avg(confidence) AS mean, row_number() OVER (PARTITION BY photo ORDER BY avg(confidence) DESC, rotation) AS n FROM ({_READINGS}) r GROUP BY photo, rotation) m WHERE n = 1")
+def photo_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.best_rotation(bridge.run(spark, folder, _READINGS), "photo")
+
+
+@query("SELECT doc_id, upper(coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), CASE WHEN doc_id % 2 = 0 THEN source END, 'UNKNOWN')) AS category FROM {documents}")
+def category_names(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    category, intent = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return docs.select("doc_id", R.category_name(category, intent).alias("category"))
+
+
+@query(_V + "SELECT k, status, CASE WHEN k % 10 < 2 THEN CASE WHEN k % 10 = 0 THEN 'OK' ELSE 'MISMATCH' END END AS saved_decision FROM r WHERE status = 'NEEDS_REVIEW'")
+def queue_with_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The review queue beside what people have saved for it."""
+    none = F.lit(None).cast("string")
+    report = _pairs(spark, folder).select(F.col("k").alias("email_id"), none.alias("subject"), F.lit("BL_COMPARISON").alias("category"), F.lit("done").alias("processing"), none.alias("error"), F.array().cast("array<string>").alias("documents"), "fields", "r.*")
+    saved = bridge.run(spark, folder, "SELECT o_orderkey AS email_id, CASE WHEN o_orderkey % 10 = 0 THEN 'OK' ELSE 'MISMATCH' END AS decision, 'seen' AS note FROM {orders} WHERE o_orderkey % 10 < 2")
+    return R.review_queue(report, saved).select(F.col("email_id").alias("k"), F.lit("NEEDS_REVIEW").alias("status"), "saved_decision")

@@ -63,6 +63,20 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return as_list.unionByName(as_map.select("email_id", *[F.col("r")[c].alias(c) for c in names]))
 
 
+def read_template(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a sample submission, an object by message: what a submission has to look like."""
+    return read_report(spark, path, f"email_id:string,{schema}")
+
+
+def read_first_report(spark: SparkSession, folders: list[str], schema: str, name: str = "report.json") -> DataFrame:
+    """The report of the first folder that has one, as where a run's own takes the place of a sample; empty without any."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return read_report(spark, path.toString(), schema)
+    return spark.createDataFrame([], schema)
+
+
 def unique_names(files: DataFrame, key: str = "upload_id") -> DataFrame:
     """Rows ``key, pos, name`` with ``unique_name``: the second file of a name gets ``_2`` before its extension, and so on.
 

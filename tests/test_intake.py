@@ -177,3 +177,17 @@ def test_letter_pairs_lose_no_alike_name(spark):
     assert alike.candidate_pairs(values, entries, 84.0).count() < 0.02 * len(set(misread)) * len(names)
     with pytest.raises(ValueError, match="70"):
         alike.candidate_pairs(values, entries, 60.0)
+
+
+def test_the_first_report_there_is(spark, tmp_path):
+    schema = "email_id:string,status:string"
+    for name in ("own", "sample"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "sample/report.json").write_text('[{"email_id": "a", "status": "OK"}]')
+    both = [str(tmp_path / "own"), str(tmp_path / "sample")]
+    assert [tuple(r) for r in inbox.read_first_report(spark, both, schema).collect()] == [("a", "OK")]
+    (tmp_path / "own/report.json").write_text('{"b": {"status": "MISMATCH"}}')
+    assert [tuple(r) for r in inbox.read_first_report(spark, both, schema).collect()] == [("b", "MISMATCH")]
+    assert inbox.read_first_report(spark, [str(tmp_path)], schema).columns == ["email_id", "status"]
+    (tmp_path / "t.json").write_text('{"c": {"status": "OK", "has_defect": false}}')
+    assert [tuple(r) for r in inbox.read_template(spark, str(tmp_path / "t.json"), "status:string,has_defect:boolean").collect()] == [("c", "OK", False)]
