@@ -89,8 +89,8 @@ def html_to_text(c: Column) -> Column:
 
 
 def reply_subject(c: Column) -> Column:
-    """``RE: `` before the subject, whatever reply marks it had (a fixed value)."""
-    plain = F.when(F.coalesce(c, F.lit("")) == "", "Your shipping documents").otherwise(c)
+    """``RE: `` before the subject, whatever reply marks it had; pattern and default are fixed values."""
+    plain = F.when(F.coalesce(c, F.lit("")) == "", "Shipping document check").otherwise(c)
     return F.concat(F.lit("RE: "), F.regexp_replace(plain, r"(?i)^\s*((re|fw|fwd)\s*[:_]\s*)+", ""))
 
 
