@@ -265,7 +265,7 @@ def test_nearest(spark):
     vectors = rng.normal(size=(300, 16)).astype(np.float32)
     vectors[50:120] = vectors[50]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [1.0, None] * 8), (304, [1.0, 2.0]), (305, []), (7, vectors[7].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).withColumns({n: F.lit("mine") for n in ("vector", "asks", "block", "rank", "query_id")}).repartition(3)
     got = defaultdict(list)
     for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -291,6 +291,19 @@ def test_pipeline_rejects_an_unlearned_language(spark):
     assert kept == {*range(200), 1001, 1002}
 
 
+def test_pipeline_of_nothing(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").columns == docs.columns, name
+
+
+def test_pipeline_hides_without_a_count_of_characters(spark):
+    df = spark.createDataFrame([(1, "mail j\u043ehn@example.com now", "en"), (2, None, None), (1, "mail j\u043ehn@example.com now", "en")], "doc_id long, text string, lang string")
+    got = corpus_pipeline.private(spark, df, "")
+    assert got.columns == df.columns and sorted(map(str, (r.text for r in got.collect()))) == ["None", "mail <EMAIL> now", "mail <EMAIL> now"]
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "pii", "packing"]
     more = clashing(docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", "s", 1) for i, t in enumerate(near_copies(5))], SCHEMA)))

@@ -307,6 +307,15 @@ def test_windows_hold_what_they_can(sizes):
     assert len(filled) <= 2 * -(-sum(sizes) // packing.WINDOW) + 1
 
 
+@pytest.mark.parametrize("most", [300, 1500, 4095])
+def test_windows_are_nearly_full(most):
+    rng = np.random.default_rng(most)
+    sizes = rng.integers(1, most + 1, 1000).tolist()
+    filled = np.bincount(packing.pack(sizes), weights=sizes)
+    assert filled.max() <= packing.WINDOW
+    assert len(filled) <= 1.03 * sum(sizes) / packing.WINDOW + 1
+
+
 def test_packing_table(spark, docs):
     lib = tokenizer(read_vocabulary(vocabulary_file("word_bpe_49k.json")))
     want = defaultdict(list)
