@@ -37,7 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like one of the languages learned from them; ``lang`` stays as it was labelled.
 
     Texts that are null, empty or without letters go, as do those not above MIN_SCORE, and those below the threshold
-    of their length class. A class without one takes that of the next shorter class that has; short texts score lower.
+    of their length class. A class without one takes that of the next shorter class that has; short texts score lower. Rows that repeat are judged one by one, other columns
+    stay as they are, and an empty table (or one without labelled documents, from which nothing is learned) keeps none.
     """
     model = language_id.learn(docs.where(~language_id.held_out("doc_id")))
     pred, score, size = fresh(docs, "lang_pred", "score", "size")
@@ -50,18 +51,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, letter case of A-Z aside: that of the largest doc_id."""
+    """One document of each text, letter case of A-Z aside: that of the largest doc_id. Null counts as empty; an empty table stays one."""
     return exact_dedup.kept_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the smallest doc_id. Rows of a null doc_id stay."""
+    """One document of each class of near duplicates: that of the smallest doc_id.
+
+    Rows of a null doc_id stay, as do texts without words but for one; rows that repeat a doc_id go or stay together; an
+    empty table stays one.
+    """
     dropped = written(ngram_join.ngram_join(docs).where("doc_id <> class_id").select("doc_id").distinct())
     return without(docs, dropped, "doc_id")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, each span of personal data replaced by its kind; ``n_chars`` counts the new text."""
+    """Every document, each span of personal data replaced by its kind; ``n_chars``, if there is one, counts the new text.
+
+    A null text stays null; spans that overlap become one; rows that repeat are read one by one; an empty table stays one.
+    """
     (found,) = fresh(docs, "pii")
     text = q(found)["redacted"]
     new = {"text": text}
@@ -71,7 +79,11 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null text counts as empty and has its end's token alone; rows that repeat are documents of their own; an empty table
+    gives no piece.
+    """
     return packing.pack_documents(docs)
 
 
