@@ -147,6 +147,7 @@ def split(buckets: DataFrame) -> DataFrame:
                 marks = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), SKETCH)
                 rows, paths = children(batch["path"].to_numpy().view(np.uint64), marks)
                 yield pd.DataFrame({"path": paths.view(np.int64)} | {c: batch[c].to_numpy()[rows] for c in ("rep", "sketch", "before", "stuck")})
+        give_back()
 
     return buckets.mapInPandas(of, T.StructType([buckets.schema[c] for c in ("path", "rep", "sketch", "before", "stuck")]))
 
@@ -205,9 +206,11 @@ def _alike(a: Column, b: Column) -> Column:
     """Whether two columns of sketches have as many equal places as a promising pair."""
 
     @F.pandas_udf("boolean")
-    def told(x: pd.Series, y: pd.Series) -> pd.Series:
-        one, two = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SKETCH) for s in (x, y))
-        return pd.Series((one == two).mean(1) >= PROMISING)
+    def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            one, two = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SKETCH) for s in (x, y))
+            yield pd.Series((one == two).mean(1) >= PROMISING)
+        give_back()
 
     return told(a, b)
 
@@ -279,6 +282,7 @@ def promising_links(buckets: DataFrame, keys: list[str] | None = None) -> DataFr
                 at = np.array(found)
                 ids = frame["id"].to_numpy()
                 yield pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
+        give_back()
 
     kind = buckets.schema["id"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
@@ -321,6 +325,7 @@ def exact_links(blocks: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 pairs = np.argwhere(np.triu(near))
                 ids = own["id"].to_numpy()
                 yield pd.DataFrame({"id": ids, "n_links": near.sum(1), "root": ids[_roots(len(ids), pairs)]})
+        give_back()
 
     kind = blocks.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_links", T.LongType()), T.StructField("root", kind)])
