@@ -31,6 +31,35 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(100.0)).when(total > 0, lcs_length(a, b) * F.lit(200.0) / total)
 
 
+#: What squashed texts are made of, and how many of their letters a row of the table has as one number.
+SQUASHED, BITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 62
+
+
+def squashed_ratio(a: Column, b: Column) -> Column:
+    """:func:`ratio` of squashed texts: a row of the table is one number (Hyyrö's bit-parallel form), so a letter of ``b`` is one step.
+
+    A first text of more than 62 letters takes the plain table.
+    """
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
+    backwards = F.reverse(a)
+
+    def places(letter: Column) -> Column:
+        """Bits where ``a`` has the letter, its first letter lowest."""
+        at = F.instr(F.lit(SQUASHED), letter)
+        digits = F.concat(F.repeat(F.lit("0"), at - 1), F.lit("1"), F.repeat(F.lit("0"), len(SQUASHED) - at))
+        return F.conv(F.call_function("translate", backwards, F.lit(SQUASHED), digits), 2, 10).cast("long")
+
+    masks = F.transform(F.split(b, ""), places)
+    row = F.aggregate(masks, full, lambda s, m: (s + s.bitwiseAND(m)).bitwiseOR(s - s.bitwiseAND(m)).bitwiseAND(full))
+    total = F.length(a) + F.length(b)
+    return (
+        F.when(a == b, F.lit(100.0))
+        .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
+        .when(F.length(a) <= BITS, (F.length(a) - F.bit_count(row)) * F.lit(200.0) / total)
+        .otherwise(ratio(a, b))
+    )
+
+
 def lcs(a: str, b: str) -> int:
     """The same, with one integer as a row of the table (Hyyrö's bit-parallel form)."""
     place: dict[str, int] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.normalise import canon_name, canon_port, container_count, weight_kg
-from ..functions.similarity import ratio
+from ..functions.similarity import squashed_ratio
 from ..functions.text import general, let, quoted, squash
 from .alike import likely_pairs
 from .dealing import dealt
@@ -105,7 +105,7 @@ def decide(kind: str, name: Column, si: Column, bl: Column, a: Column, b: Column
 def likeness_of(a: Column, b: Column) -> Column:
     """Likeness of two normal texts, null where they are the same."""
     both = F.struct(F.coalesce(squash(a["text"]), F.lit("")).alias("a"), F.coalesce(squash(b["text"]), F.lit("")).alias("b"))
-    return let(both, lambda t: F.when(t["a"] != t["b"], ratio(t["a"], t["b"])))
+    return let(both, lambda t: F.when(t["a"] != t["b"], squashed_ratio(t["a"], t["b"])))
 
 
 def consensus(kind: Column, name: Column, passes: Column, snaps: Column | None = None) -> Column:

@@ -45,7 +45,7 @@ def field_number(field: Column) -> Column:
 
 def side_items(report: DataFrame, side: str, keys: list[str]) -> DataFrame:
     """``keys, number, field, verdict, evidence, value`` of one side (si or bl): what can be marked on its pages."""
-    items = report.select(*keys, F.inline("fields"))
+    items = report.select(*keys, F.inline_outer("fields")).where("field is not null")  # of an inner one Spark infers a filter, for which it would compare once more
     value, evidence = F.coalesce(F.col(side), F.lit("")), F.col(f"{side}_evidence")
     return items.where((value != "") | (evidence != "")).select(*keys, field_number(F.col("field")).alias("number"), "field", "verdict", evidence.alias("evidence"), value.alias("value"))
 

@@ -56,14 +56,14 @@ def clean_line(line: Column) -> Column:
     return F.replace(strip_cjk(line), F.lit(" "), F.lit(" "))
 
 
-#: What a line must open with to have any label: most lines are done after this one pattern.
-_ANY_LABEL = rf"(?i)^\s*(?:{'|'.join(LABELS[f] for f in FIELDS)})"
+def _tried(line: Column) -> list[Column]:
+    """For each field, in the fields' order, what follows its label if that opens the line."""
+    return [F.when(line.rlike(label_pattern(f)), F.struct(F.lit(f).alias("field"), strip(F.regexp_extract(line, label_pattern(f), 1)).alias("value"))) for f in FIELDS]
 
 
 def _hits(line: Column) -> Column:
     """Fields whose label opens the line, in the fields' order, with what follows the label."""
-    found = [F.when(line.rlike(label_pattern(f)), F.struct(F.lit(f).alias("field"), strip(F.regexp_extract(line, label_pattern(f), 1)).alias("value"))) for f in FIELDS]
-    return F.when(line.rlike(_ANY_LABEL), F.filter(F.array(*found), lambda h: h.isNotNull())).otherwise(F.array().cast(f"array<{HIT_TYPE}>"))
+    return F.filter(F.array(*_tried(line)), lambda h: h.isNotNull())
 
 
 def _read(raw: Column, line: Column, scanned: Column) -> Column:
@@ -153,7 +153,7 @@ def extract_flush_left(lines: DataFrame, keys: list[str]) -> DataFrame:
     after it, up to the next line that isn't, belong to a party's block.
     """
     text = strip(clean_line(F.col("line")))
-    rows = dealt(lines, *keys).withColumn("text", text).withColumn("indented", _is_indented(F.col("line"))).withColumn("hit", F.get(_hits(clean_line(F.col("line"))), F.lit(0)))
+    rows = dealt(lines, *keys).withColumn("text", text).withColumn("indented", _is_indented(F.col("line"))).withColumn("hit", F.coalesce(*_tried(clean_line(F.col("line")))))
     in_order = Window.partitionBy(*keys).orderBy("line_no")
     heads = rows.withColumn("head", F.sum(F.when(F.col("indented"), 0).otherwise(1)).over(in_order))
     opened = heads.where(~F.col("indented") & F.col("hit").isNotNull() & ~F.col("text").rlike(NET_WEIGHT))

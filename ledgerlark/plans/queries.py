@@ -68,7 +68,7 @@ _V = f"WITH s AS MATERIALIZED ({bridge.SIDES}), v AS MATERIALIZED ({_VERDICTS}),
 
 @query(_V + "SELECT k, field, verdict, si, bl FROM v")
 def ship_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder).select("k", F.inline("fields")).select("k", "field", "verdict", "si", "bl")
+    return _pairs(spark, folder).select("k", F.inline_outer("fields")).where("field is not null").select("k", "field", "verdict", "si", "bl")
 
 
 @query(_V + "SELECT k, status, CASE WHEN status = 'NEEDS_REVIEW' THEN 'missing_value' END AS review_reason, status = 'MISMATCH' AS has_defect FROM r")
@@ -252,7 +252,8 @@ def field_extract_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_EXTRACT)
 def field_extract_fold(spark: SparkSession, folder: str) -> DataFrame:
-    found = E.folded(bridge.documents(spark, folder), "doc_id").select("doc_id", F.explode("fields").alias("field", "f"))
+    # An outer explode: of the other kind Spark infers a filter, for which it would fold every document once more.
+    found = E.folded(bridge.documents(spark, folder), "doc_id").select("doc_id", F.explode_outer("fields").alias("field", "f")).where("field is not null")
     return found.select("doc_id", "field", "f.raw", "f.blank", F.size("f.block").alias("n_block"))
 
 

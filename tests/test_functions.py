@@ -88,3 +88,13 @@ def test_column_ratio_is_the_arrow_ratio(spark):
     for r in pairs.select("a", "b", S.ratio(F.col("a"), F.col("b")).alias("x"), S.ratio_udf(F.col("a"), F.col("b")).alias("y")).collect():
         assert r.x == pytest.approx(r.y) == pytest.approx(S.ratio_of(r.a, r.b))
     assert S.partial_ratio_of("ABC", "XXABCXX") == 100.0
+
+
+def test_bit_parallel_column_ratio(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("AB1ZQ9") for _ in range(n))
+    rows = [(word(rng.randint(0, 70)), word(rng.randint(0, 70))) for _ in range(150)] + [("", ""), ("A", ""), ("", "A"), ("A" * 62, "A" * 61), ("A" * 63, "AB"), ("9" * 62, "9Z" * 40), ("ABC", "ABC")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.squashed_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(abs(r.r - S.ratio_of(r.a, r.b)) < 1e-9 for r in got)
