@@ -9,6 +9,7 @@ from ..constants import EMAIL_EXTENSIONS
 from ..functions.text import extension, html_to_text
 from .inbox import unique_names
 from .readers import parse_message
+from .shared import written
 
 PART = "part int, part_name string, part_content binary, subject string, sender string, recipient string, body string, html string, error string"
 
@@ -41,6 +42,7 @@ def read_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.when(F.col("html").isNotNull(), html_to_text(F.coalesce("html", F.lit("")))).otherwise(F.trim("body"))
     messages = parts.where("part = 0").select(F.col("upload_id").alias("email_id"), "subject", F.col("sender").alias("from"), F.col("recipient").alias("to"), body.alias("body"), "error")
     order = F.row_number().over(Window.partitionBy("upload_id").orderBy(F.col("is_message").desc(), "pos", "part")) - 1
-    docs = parts.where("part > 0").select("upload_id", order.alias("pos"), F.col("part_name").alias("name"), F.col("part_content").alias("content"))
-    named = unique_names(docs)
-    return messages, named.select(F.col("upload_id").alias("email_id"), "pos", F.col("unique_name").alias("path"), "content")
+    # Stored: a message is parsed once, and only names go through the fold, not what the files hold.
+    docs = written(parts.where("part > 0").select("upload_id", order.alias("pos"), F.col("part_name").alias("name"), F.col("part_content").alias("content")))
+    named = unique_names(docs.select("upload_id", "pos", "name")).drop("name")
+    return messages, docs.join(named, ["upload_id", "pos"]).select(F.col("upload_id").alias("email_id"), "pos", F.col("unique_name").alias("path"), "content")
