@@ -14,7 +14,7 @@ from ..functions.normalise import canon_name, canon_port, container_count, weigh
 from ..functions.similarity import squashed_ratio
 from ..functions.text import general, let, quoted, squash
 from .alike import likely_pairs
-from .dealing import dealt
+from .dealing import dealt, once
 from .extract import correction, party_lines
 
 RESULT_TYPE = "struct<field:string,verdict:string,si:string,bl:string,reason:string,si_evidence:string,bl_evidence:string>"
@@ -129,7 +129,7 @@ def compare_documents(rows: DataFrame, corrections: str | None = None, result: s
     ``si``, ``bl``: structs ``fields, pass_fields, ocr, lines, kind`` of the two documents. ``corrections``: the name
     of a column, a struct ``si, bl`` of maps; ``snaps``: of one as :func:`snapped` makes it, which counts for scanned
     documents alone. One function is applied to the array of the seven fields, so the plan
-    doesn't grow with them, and what it uses often is bound once.
+    doesn't grow with them, and what it uses often is bound once. Filters on what follows from it don't compare again.
     """
     rows = rows if key is None else dealt(rows, key)
     si, bl = F.col("si"), F.col("bl")
@@ -171,7 +171,7 @@ def compare_documents(rows: DataFrame, corrections: str | None = None, result: s
         return let(reads, lambda r: let(values(r), lambda v: let(like(v), lambda w: let(told(x, r, v, w), lambda t: result_of(x, r, t)))))
 
     items = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(kind_of(n)).alias("kind"), (note if n == "container_count" else F.lit(None).cast("string")).alias("note")) for n in K.FIELDS])
-    return rows.withColumn(result, F.when(si.isNotNull() & bl.isNotNull(), F.transform(items, one)))
+    return once(rows, result, F.when(si.isNotNull() & bl.isNotNull(), F.transform(items, one)))
 
 
 def roll_up(fields: Column, scanned: Column | None = None) -> Column:

@@ -1,8 +1,9 @@
-"""Rows dealt to all cores before an expression that costs far more than its rows have bytes."""
+"""Expressions that cost far more than their rows have bytes: dealt to all cores, and run once for each row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -15,3 +16,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *keys)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as ``name``, which is evaluated once for each row, whatever filters and columns use it.
+
+    Spark puts an expression in the place of its name in each filter that it pushes below it; it pushes none below a
+    generator whose result the filter reads. An outer one, as Spark infers a filter from an inner one's input.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
