@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_udf
 from ..functions.text import squash
+from .dealing import once
 
 #: Characters of squashed texts, and what stands before the first and after the last.
 LETTERS, START, END = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "^", "$"
@@ -68,10 +69,11 @@ def candidate_pairs(values: DataFrame, entries: DataFrame, least: float) -> Data
     a, b = F.length("a").cast("long"), F.length("b").cast("long")
     left = values.select("value", squash(F.col("value")).alias("a")).where("a <> ''").withColumn("pairs_a", ranked_pairs(F.col("a"), ranks))
     left = left.withColumn("size", F.explode(sizes(a))).withColumn("needed", shared_least(a + F.col("size"), least))
-    left = left.withColumn("pair", F.explode(first(F.col("pairs_a"), a, F.col("needed"))))
+    # Outer, as for an inner one's filter Spark would number the pairs once more; a null meets nothing.
+    left = left.withColumn("pair", F.explode_outer(first(F.col("pairs_a"), a, F.col("needed"))))
     right = entries.select("entry", squash(F.col("entry")).alias("b")).where("b <> ''").withColumn("pairs_b", ranked_pairs(F.col("b"), ranks))
     fewest = F.array_min(F.transform(sizes(b), lambda n: shared_least(b + n, least)))
-    right = right.select("entry", "b", "pairs_b", b.alias("size"), F.explode(first(F.col("pairs_b"), b, fewest)).alias("pair"))
+    right = right.select("entry", "b", "pairs_b", b.alias("size"), F.explode_outer(first(F.col("pairs_b"), b, fewest)).alias("pair"))
     shared = F.array_intersect("pairs_a", "pairs_b")
     # The rarest pair that both have is among the first of both, so a pair of texts counts where it meets there.
     met = left.join(right, ["size", "pair"]).where((F.array_min(shared) == F.col("pair")) & (F.size(shared) >= F.col("needed")))
@@ -81,4 +83,4 @@ def candidate_pairs(values: DataFrame, entries: DataFrame, least: float) -> Data
 def likely_pairs(values: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     """``value, entry, score`` of the pairs whose squashed texts score ``least`` or more; distinct values and entries are expected."""
     pairs = candidate_pairs(values, entries, least)
-    return pairs.select("value", "entry", ratio_udf(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
+    return once(pairs, "score", ratio_udf(F.col("a"), F.col("b"))).where(F.col("score") >= least).select("value", "entry", "score")

@@ -24,4 +24,5 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Spark puts an expression in the place of its name in each filter that it pushes below it; it pushes none below a
     generator whose result the filter reads. An outer one, as Spark infers a filter from an inner one's input.
     """
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != name]
+    return df.select(*others, F.explode_outer(F.array(value)).alias(name))

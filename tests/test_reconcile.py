@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import compare as M
 from ledgerlark.operators import extract as E
-from ledgerlark.operators import layout, quality
+from ledgerlark.operators import dealing, layout, quality
 from ledgerlark.operators import report as R
 from ledgerlark.plans import reconcile as P
 from ledgerlark.sources import inbox as I
@@ -345,3 +345,26 @@ def test_command_line(spark, folder, tmp_path, monkeypatch):
     assert not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)  # intermediate tables are gone
     with pytest.raises(SystemExit):
         main([str(tmp_path / "in"), "--out", out, "--resolve", "email_05=OK"])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_on_a_score_do_not_score_again(spark):
+    texts = spark.createDataFrame([("a", "OCEAN STAR LINES"), ("a", None)], "k string, line string")
+    pairs = M.likely_pairs(texts.select(F.col("line").alias("value")), texts.select(F.col("line").alias("entry")), 84.0)
+    assert plan_of(pairs).count("_ratios(") == 1
+    evidence = texts.select("k", F.lit("shipper").alias("field"), F.col("line").alias("evidence"))
+    best = layout.best_lines(evidence, texts.select("k", F.lit(1).alias("line_no"), F.concat("line", F.lit("!")).alias("line")), ["k"])
+    assert plan_of(best).count("_ratios(") == 1
+    assert [(r["field"], r["line_no"]) for r in best.collect()] == [("shipper", 1)]
+
+
+def test_filters_on_results_do_not_compare_again(spark):
+    costly = F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda x: F.sha2(x.cast("string"), 256))
+    rows = dealing.once(spark.range(1, 4).withColumn("b`c", F.lit(0)), "found", F.when(F.col("id") > 1, costly))
+    used = rows.withColumn("n", F.size("found")).where((F.col("n") > 1) & F.array_contains("found", "x").isNotNull()).where("n < 3")
+    assert plan_of(used).count("sha2(") == 1
+    assert [(r["id"], r["b`c"], r["n"]) for r in used.collect()] == [(2, 0, 2)]
+    assert rows.where("found is null").count() == 1  # a null stays a row
