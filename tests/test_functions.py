@@ -72,6 +72,16 @@ def test_closed_entities_alone(spark):
     assert each(spark, texts[:1], X.html_to_text) == ["a& b&&"]
 
 
+def test_shortcuts_are_the_patterns(spark):
+    from ledgerlark import constants as K
+
+    odd = ["", " ", "a", " a  b ", "a\tb", "\u00a0a\u2003 b\u3000", "a     b", "\na\r\n", "é  è", "n/a", " TBA ", "\tnil", "x ray", "ab___", "??? MT", "-- ", "___", "unknown\n", None]
+    whole = lambda c: X.strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    assert each(spark, odd, X.tidy) == each(spark, odd, whole)
+    assert each(spark, odd, X.stripped) == each(spark, odd, X.strip)
+    assert each(spark, odd, lambda c: X.is_placeholder(c).cast("string")) == each(spark, odd, lambda c: c.rlike(K.PLACEHOLDER).cast("string"))
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
