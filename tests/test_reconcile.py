@@ -368,3 +368,20 @@ def test_filters_on_results_do_not_compare_again(spark):
     assert plan_of(used).count("sha2(") == 1
     assert [(r["id"], r["b`c"], r["n"]) for r in used.collect()] == [(2, 0, 2)]
     assert rows.where("found is null").count() == 1  # a null stays a row
+
+
+def test_rows_of_a_page_are_made_once_and_not_moved(spark):
+    word = F.struct(F.sha2(F.col("doc"), 256).alias("text"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(8.0).alias("y1"))
+    docs = dealing.dealt(spark.createDataFrame([("a",), ("b",)], "doc string"), "doc")
+    wanted = docs.select("doc", F.lit("shipper").alias("field"), F.col("doc").alias("value"), F.when(F.col("doc") == "a", F.upper(F.sha1("doc"))).otherwise("x").alias("evidence"))
+    found = layout.locate(wanted, docs.select("doc", F.lit(1).alias("page"), F.array(word).alias("words")), ["doc"])
+    assert plan_of(found).count("sha2(") == 1
+    shuffles = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    assert shuffles <= 2  # those that the documents were dealt by
+    assert found.collect() == []
+
+
+def test_dealt_parts_grow_with_rows_and_stay(spark):
+    rows = dealing.dealt(spark.range(9).groupBy("id").count(), "id", rows=11 * dealing.ROWS)
+    assert rows.rdd.getNumPartitions() == 11
+    assert dealing.dealt(spark.range(9).groupBy("id").count(), "id").rdd.getNumPartitions() >= 4
