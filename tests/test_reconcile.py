@@ -385,3 +385,37 @@ def test_dealt_parts_grow_with_rows_and_stay(spark):
     rows = dealing.dealt(spark.range(9).groupBy("id").count(), "id", rows=11 * dealing.ROWS)
     assert rows.rdd.getNumPartitions() == 11
     assert dealing.dealt(spark.range(9).groupBy("id").count(), "id").rdd.getNumPartitions() >= 4
+
+
+def test_lines_meet_evidence_within_one_value(spark):
+    texts = spark.createDataFrame([("a", 1, "x"), ("a", 2, "OCEAN STAR LINE"), ("a", 3, "ocean star-lines"), ("a", 4, "OCEAN STAR LINES"), ("b", 1, "OCEAN STAR LINE"), ("b", 2, "")], "k string, line_no int, line string")
+    evidence = spark.createDataFrame([("a", "shipper", "Ocean Star Lines"), ("b", "shipper", "Ocean Star Lines"), ("b", "consignee", ""), ("c", "shipper", "x")], "k string, field string, evidence string")
+    best = layout.best_lines(evidence, texts, ["k"])
+    assert plan_of(best).count("Window [") == 1  # the last choice; pairs pass no other
+    assert sorted((r["k"], r["field"], r["line_no"], round(r["score"], 2)) for r in best.collect()) == [("a", "shipper", 3, 100.0), ("b", "shipper", 1, 96.77)]
+
+
+def test_windows_sort_no_lines_and_join_nothing(spark):
+    rows = [(1, 1, "Shipper: ACME"), (1, 2, "  12 ROAD"), (1, 3, " \tWEST"), (1, 4, "Shipper: OTHER"), (1, 5, "net weight: 1 KG"), (1, 6, "\tPOD: X"), (1, 7, " POD: BUSAN　"), (1, 8, "Consignee:"), (1, 9, " below"), (2, 1, " Shipper: A"), (2, 2, None), (2, 3, "to the order of B"), (2, 4, "  C")]
+    found = E.extract_flush_left(spark.createDataFrame(rows, "doc int, line_no int, line string"), ["doc"])
+    plan = plan_of(found)
+    assert "Join" not in plan and plan.count("(?i)^\\s*net\\s*(weight|wt)") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "consignee", "", True, 0), (1, "port_of_discharge", "BUSAN", False, 1), (1, "shipper", "ACME", False, 3), (2, "consignee", "B", False, 2)]
+
+
+def test_labels_are_tried_by_their_first_letter(spark):
+    lines = ["shipper A", "\tPOL: B", " gross wt: 5", "Total  containers 4", "TOTAL GROSS WEIGHT 7", "no of containers: 3", "Discharge Port X", "(毛重)Load Port Y", "Load\u00a0Port Z", "Containers 9", "to the order of Z", "Vessel: Q", "", "  "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").withColumn("c", E.clean_line(F.col("line")))
+    plain = F.filter(F.array(*[F.when(F.col("c").rlike(E.label_pattern(f)), F.lit(f)) for f in E.FIELDS]), lambda f: f.isNotNull())
+    tried = F.transform(E._hits(F.col("c"), E._first(F.col("c"))), lambda h: h["field"])
+    got = df.select("i", plain.alias("a"), tried.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(len(r.a) for r in got) >= 10
+
+
+def test_names_lose_whom_they_act_for_before_they_are_shuffled(spark):
+    field = F.struct(F.concat(F.lit("Acme Co., Limited on behalf of "), F.col("id").cast("string")).alias("raw"), F.array().cast("array<string>").alias("block"), F.lit(False).alias("blank"))
+    docs = spark.range(50).select(F.create_map(F.lit("shipper"), field).alias("fields"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ocr"), F.lit("SI").alias("kind"))
+    names = M.vocabulary(docs)
+    assert [tuple(r) for r in names.collect()] == [("name", "ACME CO LTD")]
+    below, above = plan_of(names).split("Aggregate [")[-1], plan_of(names).split("Aggregate [")[1]
+    assert plan_of(names).count("Aggregate [") == 2 and "behalf" in below and "behalf" not in above
