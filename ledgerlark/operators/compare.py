@@ -272,19 +272,21 @@ def roll_up(fields: Column, scanned: Column | None = None) -> Column:
 def vocabulary(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``kind (name or place), entry``: distinct names and places of documents that were born digital (dealt by ``key`` first, if it is named).
 
-    Raw values are made distinct first, in the tasks that read them, and normal forms once for each after that.
+    Places, and names without whom they act for (of which there are far fewer), are made distinct first, in the tasks that
+    read them, and normal forms once for each after that.
     """
     sound = docs.where(F.col("error").isNull() & ~F.col("ocr") & F.col("kind").isin("SI", "BL"))
     sound = sound if key is None else dealt(sound, key)
     raw = []
     for name in (*K.PARTIES, *K.PORTS):
         field, party = F.col("fields")[name], name in K.PARTIES
-        text = F.coalesce(F.get(field["block"], F.lit(0)), field["raw"]) if party else field["raw"]
+        text = stripped(split_behalf(first_line(field), F.lit(""))[0]) if party else field["raw"]
         raw.append(F.struct(F.lit("name" if party else "place").alias("kind"), F.when(~field["blank"], text).alias("raw")))
-    each = sound.select(F.explode(F.array(*raw)).alias("e")).select("e.*").where("raw <> ''").distinct()
-    line = F.struct(F.col("raw"), F.array("raw").alias("block"))
-    entry = F.when(F.col("kind") == "name", canon_name(party_lines(line)["name"])).otherwise(canon_port(F.col("raw"))["place"])
-    return each.select("kind", entry.alias("entry")).where("entry <> ''").distinct()
+    each = sound.select(F.explode(F.array(*raw)).alias("e")).select("e.*").where("raw <> ''")
+    # Counted, as Spark leaves out a distinct below another one and would make normal forms of every row.
+    each = each.groupBy("kind", "raw").agg(F.count("*").alias("n")).where("n > 0")
+    entry = F.when(F.col("kind") == "name", canon_name(F.col("raw"))).otherwise(canon_port(F.col("raw"))["place"])
+    return once(each, "entry", entry).where("entry <> ''").select("kind", "entry").distinct()
 
 
 def snap_names(values: DataFrame, names: DataFrame) -> DataFrame:
